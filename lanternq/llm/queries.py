@@ -4,19 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import public_tokenizers
+
 from ..sources.tables import table
-from . import exact_dedup, simhash
+from . import exact_dedup, simhash, token_store
+
+TOKENIZER = "word_bpe_49k.json"
 
 
 def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_groups(table(spark, folder, "documents"))
 
 
+def op3_token_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return token_store.token_documents(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, folder, "documents"))
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op9_exact_dedup": op9_exact_dedup}
+QUERIES = {"op2_simhash": op2_simhash, "op3_token_ids": op3_token_ids, "op9_exact_dedup": op9_exact_dedup}
 
 ORACLE_SQL = {
     "op9_exact_dedup": r"""
