@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 
 from ..sources.tables import table
-from . import exact_dedup, simhash, token_store
+from . import byte_cnn, exact_dedup, simhash, token_store
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -20,11 +20,15 @@ def op3_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     return token_store.token_documents(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return byte_cnn.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, folder, "documents"))
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op3_token_ids": op3_token_ids, "op9_exact_dedup": op9_exact_dedup}
+QUERIES = {"op2_simhash": op2_simhash, "op3_token_ids": op3_token_ids, "op8_quality": op8_quality, "op9_exact_dedup": op9_exact_dedup}
 
 ORACLE_SQL = {
     "op9_exact_dedup": r"""
