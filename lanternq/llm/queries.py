@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
+import corpus_pipeline
 import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import byte_cnn, exact_dedup, simhash, token_store
+from . import byte_cnn, decontaminate, exact_dedup, mixing, simhash, token_store
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -20,6 +20,15 @@ def op3_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     return token_store.token_documents(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return mixing.mixture(docs).select("doc_id", mixing.token_count(docs["text"]).alias("n_tokens"), "copies")
+
+
+def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     return byte_cnn.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -28,9 +37,57 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, folder, "documents"))
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op3_token_ids": op3_token_ids, "op8_quality": op8_quality, "op9_exact_dedup": op9_exact_dedup}
+QUERIES = {
+    "op2_simhash": op2_simhash,
+    "op3_token_ids": op3_token_ids,
+    "op5_mixing": op5_mixing,
+    "op6_decontaminate": op6_decontaminate,
+    "op8_quality": op8_quality,
+    "op9_exact_dedup": op9_exact_dedup,
+    "pipeline": corpus_pipeline.run,
+}
+
+_DOMAIN = "CASE WHEN regexp_extract(coalesce(source, ''), '([0-9]{1,9})$', 1) = '' THEN 'other' ELSE 'domain' || (regexp_extract(source, '([0-9]{1,9})$', 1)::BIGINT % 4)::VARCHAR END"
+
+
+def _level(name: str, above: str, parents: list[str], level: str, weight: str) -> str:
+    """SQL of one level of the tree: shares of the parent's share in closed form."""
+    key = ", ".join([*parents, level])
+    part = f"PARTITION BY {', '.join(parents)}" if parents else ""
+    joined = f"JOIN {above} USING ({', '.join(parents)})" if parents else f"CROSS JOIN {above}"
+    return f"""
+        {name}_n AS (SELECT {key}, sum(cap)::HUGEINT AS cap, {weight} AS w FROM leaves GROUP BY {key}),
+        {name}_o AS (
+            SELECT {key}, cap, w, greatest(share - coalesce(sum(cap) OVER (q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0)::HUGEINT AS rest,
+                   (sum(w) OVER (q ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::HUGEINT AS ws, row_number() OVER q AS k
+            FROM {name}_n {joined} WINDOW q AS ({part} ORDER BY cap::DOUBLE / w, {level})
+        ),
+        {name}_f AS (SELECT *, min(CASE WHEN cap * ws <= rest * w THEN NULL ELSE k END) OVER ({part}) AS stop FROM {name}_o),
+        {name} AS (
+            SELECT {key}, CASE WHEN stop IS NULL OR k < stop THEN cap ELSE (max(CASE WHEN k = stop THEN rest END) OVER ({part}) * w) // (max(CASE WHEN k = stop THEN ws END) OVER ({part})) END AS share
+            FROM {name}_f
+        )"""
+
+
+_MIXING = f"""
+    WITH t AS (
+        SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_DOMAIN} AS domain,
+               len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n
+        FROM documents
+    ),
+    leaves AS (SELECT domain, lang, source, sum(n)::HUGEINT AS tokens, sum(n)::HUGEINT * {mixing.MAX_EPOCHS} AS cap FROM t GROUP BY ALL),
+    root AS (SELECT floor(sum(tokens) * {mixing.SHARE}::DOUBLE)::HUGEINT AS share FROM leaves),
+    {_level("d", "root", [], "domain", "CASE domain WHEN 'domain0' THEN 4 WHEN 'domain1' THEN 3 WHEN 'domain2' THEN 2 ELSE 1 END")},
+    {_level("l", "d", ["domain"], "lang", "CASE lang WHEN 'en' THEN 4 WHEN 'de' THEN 2 ELSE 1 END")},
+    {_level("s", "l", ["domain", "lang"], "source", "1")},
+    e AS (SELECT *, CASE WHEN tokens > 0 THEN share // tokens ELSE {mixing.MAX_EPOCHS} END AS epochs FROM s JOIN leaves USING (domain, lang, source)),
+    k AS (SELECT t.*, epochs, share - epochs * tokens AS remains, md5('{mixing.SEED}-' || (epochs + 1)::VARCHAR || '-' || doc_id::VARCHAR) AS key FROM t JOIN e USING (domain, lang, source)),
+    c AS (SELECT *, sum(n) OVER (PARTITION BY domain, lang, source ORDER BY key) AS upto FROM k)
+    SELECT doc_id, n AS n_tokens, (epochs + CASE WHEN remains > 0 AND upto <= remains THEN 1 ELSE 0 END)::BIGINT AS copies FROM c
+"""
 
 ORACLE_SQL = {
+    "op5_mixing": _MIXING,
     "op9_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
