@@ -5,11 +5,17 @@ from __future__ import annotations
 import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import byte_cnn, decontaminate, exact_dedup, mixing, simhash, token_store
+from . import byte_cnn, chat, decontaminate, exact_dedup, language_id, line_dedup, mixing, simhash, token_counts, token_store
 
 TOKENIZER = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
+
+
+def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, folder, "documents"), public_tokenizers.path(PIECES))
 
 
 def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
@@ -20,6 +26,11 @@ def op3_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     return token_store.token_documents(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = line_dedup.line_dedup(table(spark, folder, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return mixing.mixture(docs).select("doc_id", mixing.token_count(docs["text"]).alias("n_tokens"), "copies")
@@ -29,6 +40,10 @@ def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op7_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.languages(table(spark, folder, "documents"))
+
+
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     return byte_cnn.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -37,13 +52,22 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, folder, "documents"))
 
 
+def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
+    out = chat.chat_documents(table(spark, folder, "conversations"))
+    return out.select("conv_id", "chunk", "n_turns", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
     "op2_simhash": op2_simhash,
     "op3_token_ids": op3_token_ids,
+    "op4_line_dedup": op4_line_dedup,
     "op5_mixing": op5_mixing,
     "op6_decontaminate": op6_decontaminate,
+    "op7_language": op7_language,
     "op8_quality": op8_quality,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_chat": op10_chat,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -94,4 +118,21 @@ ORACLE_SQL = {
                doc_id = min(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256
         FROM n
     """,
+    "op10_chat": f"""
+        WITH t AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k
+            FROM conversations WHERE conv_id IS NOT NULL
+        ),
+        c AS (SELECT conv_id, list(role || chr(0) || text ORDER BY k) AS turns FROM t GROUP BY conv_id),
+        kept AS (
+            SELECT conv_id FROM c a
+            WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.turns[1] = a.turns[1] AND len(b.turns) > len(a.turns) AND b.turns[1:len(a.turns)] = a.turns)
+              AND NOT EXISTS (SELECT 1 FROM c b WHERE b.turns = a.turns AND b.conv_id < a.conv_id)
+        ),
+        r AS (
+            SELECT conv_id, (k - 1) // {chat.CHUNK} AS chunk, count(*) AS n_turns, string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY k) AS text
+            FROM t JOIN kept USING (conv_id) GROUP BY ALL
+        )
+        SELECT conv_id, chunk, n_turns, length(text) AS n_chars, sha256(text) AS text_sha256 FROM r
+    """,
 }
