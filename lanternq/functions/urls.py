@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType
 
 SPLIT = r"^(https?)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 # Parameters that do not change what a URL names, and those that make it untidy.
@@ -74,7 +75,7 @@ def is_local_host(h: Column) -> Column:
     return h.rlike(r"^(localhost|127\.|10\.|192\.168\.|169\.254\.|172\.(1[6-9]|2[0-9]|3[01])\.|0\.0\.0\.0|\[?::1)") | h.rlike(r"\.(local|localhost|internal|test)(:[0-9]+)?$")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def resolve(href: pd.Series, base: pd.Series) -> pd.Series:
     """Absolute http(s) URL of each reference; null where there is none."""
     from ..sources.dom import resolve as one
@@ -82,7 +83,7 @@ def resolve(href: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([one(h, b) for h, b in zip(href, base, strict=True)])
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def is_blocked_address(address: pd.Series) -> pd.Series:
     """Whether an IP address must not be fetched: private, loopback, link-local, reserved, multicast and mapped forms of these. Anything that is no address is blocked."""
     from ipaddress import IPv6Address, ip_address, ip_network

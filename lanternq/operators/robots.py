@@ -38,6 +38,6 @@ def blocked(parsed: DataFrame, asked: DataFrame) -> DataFrame:
     groups = parsed.select("site_id", "agent").distinct()
     named = groups.select("site_id", F.col("agent").alias("low"), F.lit(True).alias("named"))
     own = asked.withColumn("low", F.lower("agent")).join(named, ["site_id", "low"], "left").withColumn("group", F.when(F.col("named"), F.col("low")).otherwise(F.lit("*")))
-    met = own.join(parsed.withColumnRenamed("agent", "group"), ["site_id", "group"], "left").where(F.col("pattern").isNull() | F.col("path").rlike(pattern_regex(F.col("pattern"))))
+    met = own.join(parsed.withColumnRenamed("agent", "group"), ["site_id", "group"], "left").where(F.col("pattern").isNull() | F.rlike("path", pattern_regex(F.col("pattern"))))
     best = met.groupBy("site_id", "agent", "path").agg(F.max(F.when(F.col("pattern").isNotNull(), F.struct(F.length("pattern").alias("n"), F.col("allow").alias("allow")))).alias("best"))
     return asked.select("site_id", "agent", "path").distinct().join(best, ["site_id", "agent", "path"], "left").select("site_id", "agent", "path", (~F.coalesce(F.col("best.allow"), F.lit(True))).alias("blocked"))
