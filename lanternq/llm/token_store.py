@@ -34,8 +34,12 @@ from .perfect_hash import PerfectHash, fingerprint
 
 SHARD_BYTES = 4 << 20
 END_ID = 1
-#: Words kept with their ids in each Python worker.
-CACHE_WORDS = 300_000
+#: Words with their ids, and stems with theirs (two generations), kept in each Python worker.
+CACHE_WORDS, CACHE_STEMS = 900_000, 400_000
+#: Stems that are encoded as one string, and documents whose words are looked up together.
+JOINED, TOGETHER = 64, 128
+#: A word of letters below U+0250 and these marks is a stem and one run of marks: the tokenizer lower-cases it and never merges across the two.
+MARKS = ".,!?;:"
 SCHEMA = "part int, shard int, first long, last long, keys array<long>, counts array<long>, ids long, width int, index binary, marks binary, offsets binary, payload binary"
 _ARROW = pa.schema(
     [("part", pa.int32()), ("shard", pa.int32()), ("first", pa.int64()), ("last", pa.int64()), ("keys", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("ids", pa.int64()), ("width", pa.int32())]
@@ -44,29 +48,77 @@ _ARROW = pa.schema(
 
 
 class Encoder:
-    """A tokenizer file whose texts split into independent pieces at ASCII white space, with a bounded cache of pieces.
+    """A tokenizer file whose texts split into independent pieces at ASCII white space, with bounded caches of pieces.
 
-    Such a tokenizer drops white space before it merges anything, so that the ids of a text are those of its pieces in
-    order. Each piece is encoded by the library, once as long as it stays in the cache.
+    Such a tokenizer (lower case, white space dropped, merges within runs of letters only) gives a text the ids of its pieces in
+    order. Every piece is encoded by the library, once as long as it stays in a cache; stems that recur survive when the cache turns over.
     """
 
     def __init__(self, path: str, dtype: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype, self.cache = Tokenizer.from_file(path), dtype, {}
-
-    def __call__(self, text: str) -> bytes:
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        cache = self.cache
-        fresh = [w for w in set(words) if w not in cache]
-        if fresh:
-            if len(cache) + len(fresh) > CACHE_WORDS:
-                cache.clear()
-                fresh = list(set(words))
-            for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, self.dtype).tobytes()
-        return b"".join([cache[w] for w in words])
+        self.tokenizer, self.dtype = Tokenizer.from_file(path), np.dtype(dtype)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def encoded(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece on its own."""
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def encoded_stems(self, stems: list[str]) -> list[bytes]:
+        """As ``encoded``, for pieces of one merge run each: many go into one string, and the ids that end a run part them again."""
+        out: list[bytes] = []
+        groups = [stems[i : i + JOINED] for i in range(0, len(stems), JOINED)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.dtype)
+            cuts = ((np.flatnonzero(self.last[ids]) + 1) * self.dtype.itemsize).tolist()
+            if len(cuts) == len(group):
+                data = ids.tobytes()
+                out.extend(data[a:b] for a, b in zip([0, *cuts], cuts, strict=False))
+            else:  # the vocabulary has no marks for ends
+                out.extend(self.encoded(group))
+        return out
+
+    def learn(self, fresh: list[str]) -> None:
+        """Fills ``words`` for words that it does not hold."""
+        stems, old, words = self.stems, self.old, self.words
+        parts: list[tuple[str, str, str]] = []
+        unknown, odd = set(), []
+        for w in fresh:
+            stem = w.rstrip(MARKS)
+            if stem.isalpha() and max(stem) < "\u0250":
+                low, rest = stem.lower(), w[len(stem) :]
+                parts.append((w, low, rest))
+                for x in (low, rest) if rest else (low,):
+                    if x not in stems:
+                        if x in old:
+                            stems[x] = old[x]
+                        else:
+                            unknown.add(x)
+            else:
+                odd.append(w)
+        order = list(unknown)
+        stems.update(zip(order, self.encoded_stems(order), strict=True))
+        for w, low, rest in parts:
+            words[w] = stems[low] + stems[rest] if rest else stems[low]
+        words.update(zip(odd, self.encoded(odd), strict=True))
+        if len(stems) > CACHE_STEMS:
+            self.old, self.stems = stems, {}
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        known = self.words
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        fresh = set().union(*split).difference(known)
+        if len(known) + len(fresh) > CACHE_WORDS:
+            known.clear()
+            fresh = set().union(*split)
+        self.learn(list(fresh))
+        return [b"".join([known[w] for w in words]) for words in split]
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
@@ -99,13 +151,15 @@ def _writer(path: str, width: int, end_id: int, shard_bytes: int) -> Callable[[I
         encode, end = _encoder(path, f"<u{width}"), np.array([end_id], f"<u{width}").tobytes()
         part, shard, keys, parts, size = TaskContext.get().partitionId(), 0, [], [], 0
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                keys.append(key)
-                parts.append(encode(text.as_py() or "") + end)
-                size += len(parts[-1])
-                if size >= shard_bytes:
-                    yield pa.RecordBatch.from_pylist([_shard(part, shard, keys, parts, width)], _ARROW)
-                    shard, keys, parts, size = shard + 1, [], [], 0
+            for i in range(0, batch.num_rows, TOGETHER):
+                some = batch.slice(i, TOGETHER)
+                for key, ids in zip(some.column(0).to_pylist(), encode([t or "" for t in some.column(1).to_pylist()]), strict=True):
+                    keys.append(key)
+                    parts.append(ids + end)
+                    size += len(parts[-1])
+                    if size >= shard_bytes:
+                        yield pa.RecordBatch.from_pylist([_shard(part, shard, keys, parts, width)], _ARROW)
+                        shard, keys, parts, size = shard + 1, [], [], 0
         if keys:
             yield pa.RecordBatch.from_pylist([_shard(part, shard, keys, parts, width)], _ARROW)
 
