@@ -6,7 +6,7 @@ phrases * log2(sample length) / length, an estimate of cross-entropy in bits per
 
 Texts are parsed whole: letters in lower case, everything else one blank. The parse starts anew every BLOCK characters, the same for all
 languages, so that all blocks of a batch and all languages move in step through one transition table in numpy. A missing transition is stored as
-the transition from the start with a flag, so that a step is one look-up.
+the transition from the start with a flag, so that a step is one look-up; flags count phrases.
 """
 
 from __future__ import annotations
@@ -101,10 +101,14 @@ class Parser:
         tables, self.roots, at = [], [], 0
         for k in self.languages:
             table = Automaton(self.codes[texts[k]].tolist(), self.size).table
-            again = np.where(table[0] < 0, 0, table[0]) + at
-            tables.append(np.where(table < 0, again | FLAG, table + at).astype(np.int32))
+            # A letter that the sample lacks is a phrase of its own; the last row is where it leads, and whatever follows begins a phrase.
+            known, closed = table[0] >= 0, at + len(table)
+            again = np.where(known, table[0] + at, closed)
+            rows = np.where(table < 0, again | FLAG, table + at)
+            rows[0] = again
+            tables.append(np.vstack((rows, again | FLAG)).astype(np.int32))
             self.roots.append(at)
-            at += len(table)
+            at = closed + 1
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
