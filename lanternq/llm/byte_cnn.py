@@ -69,6 +69,13 @@ class ByteCNN:
             out += t[pairs[j : j + n]]
         return out
 
+    @staticmethod
+    def closed(raw: np.ndarray, blocks: np.ndarray, first: int = 0) -> np.ndarray:
+        """``raw`` (blocks from ``first`` on, places, filters) without the windows that reach from a document's last zero bytes into the next document."""
+        last = np.cumsum(blocks) - 1 - first
+        raw[last[(last >= 0) & (last < len(raw))], -(WIDTH - STEP) // STEP :] = -np.inf
+        return raw
+
     def head(self, peaks: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, ...]:
         """From the largest responses of each block: chunks (a block and the next of the same document), hidden layer, pooling, logit."""
         last = np.cumsum(blocks) - 1
@@ -92,13 +99,13 @@ class ByteCNN:
         for i in range(0, len(peaks), step):
             n = min(step, len(peaks) - i)
             part = pairs[i * BLOCK // STEP : (i + n) * BLOCK // STEP + len(tables) - 1]
-            self.responses(part, tables).reshape(n, BLOCK // STEP, -1).max(1, out=peaks[i : i + n])
+            self.closed(self.responses(part, tables).reshape(n, BLOCK // STEP, -1), blocks, i).max(1, out=peaks[i : i + n])
         return 1 / (1 + np.exp(-np.clip(self.head(peaks, blocks)[-1].astype(np.float64), -40, 40)))
 
     def gradients(self, texts: list[bytes], labels: np.ndarray, weights: np.ndarray) -> dict[str, np.ndarray]:
         data, blocks = packed(texts)
         pairs = data.view(np.uint16)
-        raw = self.responses(pairs, self.tables()).reshape(int(blocks.sum()), BLOCK // STEP, -1)
+        raw = self.closed(self.responses(pairs, self.tables()).reshape(int(blocks.sum()), BLOCK // STEP, -1), blocks)
         where = raw.argmax(1)
         peaks = np.take_along_axis(raw, where[:, None, :], 1)[:, 0]
         follow, right, chunk, hidden, pooled, logit = self.head(peaks, blocks)
@@ -106,7 +113,8 @@ class ByteCNN:
         g = {"out": pooled.T @ d, "out_b": np.array([d.sum()], np.float32)}
         doc = np.repeat(np.arange(len(blocks)), blocks)
         d_pool = d[:, None] * self.p["out"]
-        top = (hidden == pooled[doc, self.hidden :]) & (hidden > 0)
+        top = ((hidden == pooled[doc, self.hidden :]) & (hidden > 0)).astype(np.float32)
+        top /= np.maximum(np.add.reduceat(top, np.cumsum(blocks) - blocks), 1)[doc]  # equal chunks share
         d_hidden = ((d_pool[:, : self.hidden] / blocks[:, None])[doc] + top * d_pool[doc, self.hidden :]) * (hidden > 0)
         g |= {"mix": chunk.T @ d_hidden, "mix_b": d_hidden.sum(0)}
         d_chunk = (d_hidden @ self.p["mix"].T) * (chunk > 0)
