@@ -35,7 +35,7 @@ from .perfect_hash import PerfectHash, fingerprint
 SHARD_BYTES = 4 << 20
 END_ID = 1
 #: Words with their ids, and stems with theirs (two generations), kept in each Python worker.
-CACHE_WORDS, CACHE_STEMS = 900_000, 400_000
+CACHE_WORDS, CACHE_STEMS = 450_000, 250_000
 #: Stems that are encoded as one string, and documents whose words are looked up together.
 JOINED, TOGETHER = 64, 128
 #: A word of letters below U+0250 and these marks is a stem and one run of marks: the tokenizer lower-cases it and never merges across the two.
