@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES and ORACLE_SQL.
-MODULES = ("lanternq.plans.pages", "lanternq.plans.documents", "lanternq.plans.analytics")
+MODULES = ("lanternq.plans.pages", "lanternq.plans.documents", "lanternq.plans.analytics", "lanternq.plans.audits")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

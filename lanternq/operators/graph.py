@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..shared import dropped, parked
+from ..shared import parked
 
 DAMPING, ITERATIONS = 0.85, 50
 
@@ -44,23 +44,21 @@ def click_depth(pages: DataFrame, links: DataFrame, most: int = 64) -> DataFrame
 def pagerank(pages: DataFrame, links: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS, cut_every: int = 10) -> DataFrame:
     """(site_id, node, rank) over pages and their targets; the mass of nodes without links is spread evenly over their site.
 
-    A fixed number of rounds of one join and two aggregations; lineage is cut every ``cut_every`` rounds.
+    Each node carries its targets (the links of one page), so that a round reads the ranks once: every node hands its share to its targets and a
+    row to itself, and one aggregation collects them. The plan grows by a constant for each round, and lineage is cut every ``cut_every`` rounds.
     """
-    nodes = pages.select("site_id", F.col("url").alias("node")).unionAll(links.select("site_id", F.col("dst"))).distinct()
-    out = links.groupBy("site_id", "src").agg(F.count("*").alias("outs"))
-    base = nodes.join(out.withColumnRenamed("src", "node"), ["site_id", "node"], "left").withColumn("size", F.count("*").over(Window.partitionBy("site_id")))
-    base = parked(base.select("site_id", "node", F.coalesce("outs", F.lit(0)).alias("outs"), "size"), "base")
-    flow = parked(links.join(out, ["site_id", "src"]).select("site_id", F.col("src").alias("node"), "dst", "outs"), "flow")
-    rank, last = base.withColumn("rank", 1 / F.col("size")), None
+    nodes = pages.select("site_id", F.col("url").alias("node")).unionAll(links.select("site_id", "src")).unionAll(links.select("site_id", "dst")).distinct()
+    targets = links.where("src <> dst").groupBy("site_id", F.col("src").alias("node")).agg(F.collect_set("dst").alias("to"))
     site = Window.partitionBy("site_id")
+    state = nodes.join(targets, ["site_id", "node"], "left").withColumn("size", F.count("*").over(site)).withColumn("rank", 1.0 / F.col("size"))
+    state = parked(state.select("site_id", "node", F.coalesce("to", F.array().cast("array<string>")).alias("to"), "size", "rank"), "rank")
     for i in range(1, iterations + 1):
-        given = flow.join(rank.select("site_id", "node", "rank"), ["site_id", "node"]).groupBy("site_id", F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("outs")).alias("given"))
-        lost = F.sum(F.when(F.col("outs") == 0, F.col("rank")).otherwise(0.0)).over(site)
-        now = rank.withColumn("lost", lost).join(given, ["site_id", "node"], "left")
-        rank = now.select("site_id", "node", "outs", "size", ((1 - damping) / F.col("size") + damping * (F.coalesce("given", F.lit(0.0)) + F.col("lost") / F.col("size"))).alias("rank"))
+        own = F.array(F.struct("node", "to", "size", F.lit(0.0).alias("given"), F.when(F.size("to") == 0, F.col("rank")).otherwise(0.0).alias("lost")))
+        out = F.transform("to", lambda d: F.struct(d.alias("node"), F.lit(None).cast("array<string>").alias("to"), F.lit(None).cast("bigint").alias("size"), F.try_divide("rank", F.size("to")).alias("given"), F.lit(0.0).alias("lost")))
+        sent = state.select("site_id", F.explode(F.concat(own, out)).alias("m")).select("site_id", "m.*")
+        got = sent.groupBy("site_id", "node").agg(F.first("to", ignorenulls=True).alias("to"), F.max("size").alias("size"), F.sum("given").alias("given"), F.sum("lost").alias("lost"))
+        now = (1 - damping) / F.col("size") + damping * (F.col("given") + F.sum("lost").over(site) / F.col("size"))
+        state = got.select("site_id", "node", "to", "size", now.alias("rank"))
         if i % cut_every == 0 or i == iterations:
-            rank, old = parked(rank, "rank"), last
-            last = rank
-            if old is not None:
-                dropped(old)
-    return rank.select("site_id", "node", "rank")
+            state = parked(state, "rank")
+    return state.select("site_id", "node", "rank")

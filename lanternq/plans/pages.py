@@ -154,21 +154,11 @@ def link_components(spark: SparkSession, folder: str) -> DataFrame:
 
 def pagerank(spark: SparkSession, folder: str) -> DataFrame:
     """Ten rounds over the paths of each site, rounded; dangling mass is spread evenly."""
+    from ..operators import graph
     from ..shared import parked
 
-    links = parked(site_edges(spark, folder), "edges")
-    nodes = _pages(spark, folder).select("site_id", c("path").alias("node")).unionAll(links.select("site_id", "src")).unionAll(links.select("site_id", "dst")).distinct()
-    outs = links.groupBy("site_id", "src").agg(F.count("*").alias("outs"))
-    site = Window.partitionBy("site_id")
-    base = parked(nodes.join(outs.withColumnRenamed("src", "node"), ["site_id", "node"], "left").select("site_id", "node", F.coalesce("outs", F.lit(0)).alias("outs"), F.count("*").over(site).alias("size")), "base")
-    rank = base.withColumn("rank", 1.0 / c("size"))
-    for i in range(10):
-        given = links.join(rank.select("site_id", c("node").alias("src"), F.try_divide("rank", "outs").alias("part")), ["site_id", "src"]).groupBy("site_id", c("dst").alias("node")).agg(F.sum("part").alias("given"))
-        lost = F.sum(F.when(c("outs") == 0, c("rank")).otherwise(0.0)).over(site)
-        rank = rank.withColumn("lost", lost).join(given, ["site_id", "node"], "left").select("site_id", "node", "outs", "size", (0.15 / c("size") + 0.85 * (F.coalesce("given", F.lit(0.0)) + c("lost") / c("size"))).alias("rank"))
-        if i % 5 == 4:
-            rank = parked(rank, "rank")
-    return rank.select("site_id", "node", F.round("rank", 6).alias("rank"))
+    nodes = _pages(spark, folder).select("site_id", c("path").alias("url")).distinct()
+    return graph.pagerank(nodes, parked(site_edges(spark, folder), "edges"), iterations=10).withColumn("rank", F.round("rank", 6))
 
 
 def static_text(spark: SparkSession, folder: str) -> DataFrame:
