@@ -16,7 +16,7 @@ from ...operators import graph, robots
 from ...operators.components import connected_components
 from ...shared import parked
 from . import tables as X
-from .rules import DIRECTIVES, sql, when
+from .rules import directives, sql, when
 
 c = F.col
 
@@ -102,7 +102,7 @@ def robots_checks(s: X.Sites) -> list[DataFrame]:
         canon = s.pages.select("site_id", "seq", F.explode("canonicals").alias("url"), F.lit("canonical").alias("kind"))
         targets = listed.unionAll(canon).withColumn("path", U.path(c("url")))
         denied = robots.blocked(parsed, targets.select("site_id", F.lit("Googlebot").alias("agent"), "path")).select("site_id", "path", "blocked")
-        noindex = s.pages.where(F.array_contains(DIRECTIVES, "noindex")).select("site_id", U.canonical_identity(c("url")).alias("id_"), F.lit(True).alias("noindex"))
+        noindex = s.pages.where(F.array_contains(directives(), "noindex")).select("site_id", U.canonical_identity(c("url")).alias("id_"), F.lit(True).alias("noindex"))
         wide = targets.withColumn("id_", U.canonical_identity(c("url"))).join(denied, ["site_id", "path"], "left").join(noindex, ["site_id", "id_"], "left")
         out.append(finding(wide, "indexing-conflicts", "sev", when("blocked", 2, "noindex AND kind = 'sitemap'", 1, 0), "url"))
     return out

@@ -44,17 +44,35 @@ def meta(name: str) -> str:
     return f"coalesce(metas['{name}'], '')"
 
 
-DIRECTIVES = F.concat(T.directive_tokens(sql("headers['x-robots-tag']")), T.directive_tokens(sql("metas['robots']")))
-HAS = lambda token: F.array_contains(DIRECTIVES, token)
-ARTICLE = sql(r"arrays_overlap(node_types, array('Article','NewsArticle','BlogPosting','TechArticle','ScholarlyArticle','Report','LiveBlogPosting','ReportageNewsArticle','OpinionNewsArticle','AdvertiserContentArticle')) OR path RLIKE '(?i)/(blog|news|article|articles|posts?|stories)(/|$|\\.)'")
+def directives() -> Column:
+    return F.concat(T.directive_tokens(sql("headers['x-robots-tag']")), T.directive_tokens(sql("metas['robots']")))
+
+
+def has(token: str) -> Column:
+    return F.array_contains(directives(), token)
+
+
+def article() -> Column:
+    return sql(r"arrays_overlap(node_types, array('Article','NewsArticle','BlogPosting','TechArticle','ScholarlyArticle','Report','LiveBlogPosting','ReportageNewsArticle','OpinionNewsArticle','AdvertiserContentArticle')) OR path RLIKE '(?i)/(blog|news|article|articles|posts?|stories)(/|$|\\.)'")
+
+
 DESCRIPTION = meta("description")
-LOCAL = U.is_local_host(c("host"))
-HEAD = sql("filter(headings, h -> h.level IN (2, 3))")
-MODIFIED = F.greatest(*[T.parse_date(sql(x)) for x in ("published", "modified", "metas['article:modified_time']", "metas['article:published_time']", "try_element_at(times, 1)")])
+def local() -> Column:
+    return U.is_local_host(c("host"))
+
+
+def heads() -> Column:
+    return sql("filter(headings, h -> h.level IN (2, 3))")
+
+
+def modified() -> Column:
+    return F.greatest(*[T.parse_date(sql(x)) for x in ("published", "modified", "metas['article:modified_time']", "metas['article:published_time']", "try_element_at(times, 1)")])
+
+
 
 
 def months(as_of: str) -> Column:
-    return (F.unix_timestamp(F.to_timestamp(F.lit(as_of))) - F.unix_timestamp(MODIFIED)) / (365.25 * 86400 / 12)
+    return (F.unix_timestamp(F.to_timestamp(F.lit(as_of))) - F.unix_timestamp(modified())) / (365.25 * 86400 / 12)
 
 
 def vitals(value: str, good: float, poor: float) -> Column:
@@ -77,7 +95,7 @@ def page_rules(as_of: str) -> dict[str, tuple[str, Column]]:
     forms_weak = r"exists(forms, f -> coalesce(f.action, '') RLIKE '^\\s*(javascript:|#)' OR NOT f.named)"
     lead = F.array_join(F.slice(c("paragraphs"), 1, 2), " ")
     parity = sql("mount_chars < 50 AND length(body_text) < 200")
-    depth = F.when(ARTICLE, 300).otherwise(150)
+    depth = F.when(article(), 300).otherwise(150)
     age = months(as_of)
     title_len, h1 = F.length(c("title")), sql("try_element_at(h1s, 1)")
     core = F.array_distinct(F.concat(T.topic_tokens(F.coalesce(c("title"), F.lit(""))), T.topic_tokens(F.coalesce(h1, F.lit("")))))
@@ -89,8 +107,8 @@ def page_rules(as_of: str) -> dict[str, tuple[str, Column]]:
     label = F.coalesce(T.is_error_label(c("title")), F.lit(False)) | F.coalesce(T.is_error_label(h1), F.lit(False))
     return {
         # ai-access
-        "meta-robots-noindex": ("sev", when(HAS("noindex") & HAS("index"), 1, HAS("noindex") | HAS("none"), 2, HAS("nofollow"), 1, 0)),
-        "snippet-preview-directives": ("sev", when(HAS("nosnippet") | HAS("max-snippet:0") | HAS("max-image-preview:none") | HAS("max-video-preview:0"), 2, F.exists(DIRECTIVES, lambda x: x.rlike("^max-(snippet|image-preview|video-preview):")), 0, 1)),
+        "meta-robots-noindex": ("sev", when(has("noindex") & has("index"), 1, has("noindex") | has("none"), 2, has("nofollow"), 1, 0)),
+        "snippet-preview-directives": ("sev", when(has("nosnippet") | has("max-snippet:0") | has("max-image-preview:none") | has("max-video-preview:0"), 2, F.exists(directives(), lambda x: x.rlike("^max-(snippet|image-preview|video-preview):")), 0, 1)),
         # llm-content
         "agent-usability": ("sev", when("size(forms) = 0", F.lit(None), forms_bad, 2, forms_weak, 1, 0)),
         "hedging-rate": ("warn", when("main_words < 150", F.lit(None), T.hedge_count(lead) >= 2, 1, 0)),
@@ -100,14 +118,14 @@ def page_rules(as_of: str) -> dict[str, tuple[str, Column]]:
         "content-without-js": ("agg", when("length(body_text) < 200", 2, 0)),
         "content-depth": ("agg", when(c("main_words") < depth, 2, 0)),
         "content-lead-answer": ("sev", when(F.lower(F.substring("main_text", 1, 600)).rlike(r"\b(tl;?dr|en bref|in short|key takeaways?|résumé)\b") | sql("exists(slice(paragraphs, 1, 2), p -> length(p) BETWEEN 40 AND 320)"), 0, "exists(paragraphs, p -> length(p) BETWEEN 40 AND 320) OR exists(slice(paragraphs, 1, 2), p -> length(p) > 320)", 1, "main_words >= 150", 2, 0)),
-        "answer-headings": ("warn", when("main_words < 300", F.lit(None), F.exists(HEAD, lambda h: T.is_question(h["text"]) | h["text"].rlike(r"(?i)^(best|top|vs\.?|meilleurs?|meilleures?)\b")), 0, 1)),
+        "answer-headings": ("warn", when("main_words < 300", F.lit(None), F.exists(heads(), lambda h: T.is_question(h["text"]) | h["text"].rlike(r"(?i)^(best|top|vs\.?|meilleurs?|meilleures?)\b")), 0, 1)),
         "extractable-structure": ("sev", when("main_words < 150", F.lit(None), "has_list OR has_th", 0, 1)),
-        "content-freshness": ("sev", when(~ARTICLE, F.lit(None), MODIFIED.isNull() | (age > 24), 2, age > 12, 1, "(published IS NULL) <> (modified IS NULL)", 1, 0)),
-        "content-author-eeat": ("sev", when(~ARTICLE, F.lit(None), "author IS NOT NULL AND byline", 0, "author IS NOT NULL OR byline", 1, 2)),
+        "content-freshness": ("sev", when(~article(), F.lit(None), modified().isNull() | (age > 24), 2, age > 12, 1, "(published IS NULL) <> (modified IS NULL)", 1, 0)),
+        "content-author-eeat": ("sev", when(~article(), F.lit(None), "author IS NOT NULL AND byline", 0, "author IS NOT NULL OR byline", 1, 2)),
         "outbound-citations": ("sev", when("main_words < 150", F.lit(None), rf"exists(links, l -> l.in_main AND l.url IS NOT NULL AND {_HOST} <> host AND NOT {_HOST} RLIKE '{_SOCIAL}')", 0, 1)),
         "csr-content-parity": ("agg", when(parity, 2, 0)),
         # technical-seo
-        "canonical": ("agg", when("size(canonicals) = 0", 2, "size(canonicals) > 1", 2, F.coalesce(U.host(sql("try_element_at(canonicals, 1)")) != c("host"), F.lit(True)), 2, (U.scheme(sql("try_element_at(canonicals, 1)")) != "https") & ~LOCAL, 2, U.canonical_identity(sql("try_element_at(canonicals, 1)")) != U.canonical_identity(c("url")), 2, 0)),
+        "canonical": ("agg", when("size(canonicals) = 0", 2, "size(canonicals) > 1", 2, F.coalesce(U.host(sql("try_element_at(canonicals, 1)")) != c("host"), F.lit(True)), 2, (U.scheme(sql("try_element_at(canonicals, 1)")) != "https") & ~local(), 2, U.canonical_identity(sql("try_element_at(canonicals, 1)")) != U.canonical_identity(c("url")), 2, 0)),
         "soft-error-pages": ("sev", when(label & (c("main_words") <= 400), 2, "NOT is_home AND main_words < 15 AND size(filter(images, i -> i.in_main)) < 2", 1, 0)),
         "url-structure": ("agg", when(F.size(U.url_issues(c("url"))) > 0, 2, 0)),
         "pagination-canonical": ("any", when(F.coalesce(U.page_number(c("url")), F.lit(1)) <= 1, F.lit(None), "size(canonicals) = 0", 0, F.exists("canonicals", lambda x: U.canonical_identity(x) == U.canonical_identity(c("url"))), 0, 2)),
@@ -192,7 +210,7 @@ def home_rules(as_of: str) -> dict[str, Column]:
     charset = sql(rf"coalesce(charset, nullif(regexp_extract(lower({header('content-type')}), 'charset=\"?([a-z0-9_-]+)', 1), ''))")
     return {
         "homepage-ok": when("status = 200", 0, 2),
-        "robots-directives": when(HAS("noindex") | HAS("noai"), 1, 0),
+        "robots-directives": when(has("noindex") | has("noai"), 1, 0),
         "cloudflare-ai-defaults": when(cloud, 1, F.coalesce(c("robots_body").rlike(r"(?im)^\s*content-signal\s*:"), F.lit(False)), 1, 0),
         "pay-per-crawl": when("status = 402", 2, "exists(map_keys(headers), k -> k RLIKE '(?i)crawler-price')", 1, 0),
         "open-graph": when(rf"{og('title')} = '' OR {og('image')} NOT LIKE 'https://%'", 2, " OR ".join(f"{og(k)} = ''" for k in ("description", "type", "url", "site_name", "locale")), 1, 0),
@@ -213,8 +231,8 @@ def home_rules(as_of: str) -> dict[str, Column]:
         "inline-head-volume": when("inline_bytes <= 14336", 0, 1),
         "viewport": when(f"{meta('viewport')} <> ''", 0, 2),
         "viewport-zoom": when(f"{meta('viewport')} = ''", F.lit(None), rf"lower({meta('viewport')}) RLIKE 'user-scalable\\s*=\\s*(no|0)' OR {scale} <= 1", 2, f"{scale} < 2", 1, 0),
-        "https": when(LOCAL, F.lit(None), "url LIKE 'https://%'", 0, 2),
-        "hsts": when(LOCAL, F.lit(None), f"{hsts} >= 15552000", 0, f"{hsts} IS NOT NULL", 1, 2),
+        "https": when(local(), F.lit(None), "url LIKE 'https://%'", 0, 2),
+        "hsts": when(local(), F.lit(None), f"{hsts} >= 15552000", 0, f"{hsts} IS NOT NULL", 1, 2),
         "x-content-type-options": when(f"lower(trim({header('x-content-type-options')})) = 'nosniff'", 0, 2),
         "csp": when(f"{csp} = ''", 2, scripts.rlike(r"'unsafe-inline'|(^|\s)\*(\s|$)"), 1, 0),
         "clickjacking": when(rf"upper(trim({header('x-frame-options')})) IN ('DENY', 'SAMEORIGIN') OR (lower({csp}) RLIKE 'frame-ancestors' AND NOT lower({csp}) RLIKE 'frame-ancestors[^;]*\\*')", 0, 2),
