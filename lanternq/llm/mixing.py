@@ -67,12 +67,13 @@ def _shares(nodes: DataFrame, parents: list[str], name: str, total: str, out: st
 def budgets(leaves: DataFrame, budget: Column, weights: dict[str, dict[str, int]], max_epochs: int) -> DataFrame:
     """(domain, lang, source, tokens, docs, budget) for each leaf, from (domain, lang, source, tokens, docs); ``budget`` is an expression over the total ``tokens``."""
     leaves = leaves.withColumn("cap", F.col("tokens") * max_epochs)
-    total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).select(budget.cast("long").alias("share"))
-    above, parents, key = total, [], []
+    above, parents, key = None, [], []
     for level in LEVELS:
         key = [*key, level]
-        nodes = leaves.groupBy(*key).agg(F.sum("cap").alias("cap")).withColumn("w", _weight(F.col(level), weights.get(level, {})))
-        joined = nodes.crossJoin(above) if not parents else nodes.join(above, parents)  # the root is one row
+        nodes = leaves.groupBy(*key).agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("tokens")).withColumn("w", _weight(F.col(level), weights.get(level, {})))
+        # The top level shares the budget itself.
+        whole = nodes.withColumn("tokens", F.sum("tokens").over(Window.partitionBy(F.lit(0)))).withColumn("share", budget.cast("long"))
+        joined = whole if above is None else nodes.join(above, parents)
         above, parents = _shares(joined, parents, level, "share", "own").select(*key, F.col("own").alias("share")), key
     return leaves.drop("cap").join(above, key).withColumnRenamed("share", "budget")
 
