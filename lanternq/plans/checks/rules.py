@@ -57,6 +57,8 @@ def article() -> Column:
 
 
 DESCRIPTION = meta("description")
+
+
 def local() -> Column:
     return U.is_local_host(c("host"))
 
@@ -69,8 +71,6 @@ def modified() -> Column:
     return F.greatest(*[T.parse_date(sql(x)) for x in ("published", "modified", "metas['article:modified_time']", "metas['article:published_time']", "try_element_at(times, 1)")])
 
 
-
-
 def months(as_of: str) -> Column:
     return (F.unix_timestamp(F.to_timestamp(F.lit(as_of))) - F.unix_timestamp(modified())) / (365.25 * 86400 / 12)
 
