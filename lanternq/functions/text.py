@@ -85,8 +85,12 @@ def topic_tokens(text: Column) -> Column:
 
 def shingles(text: Column, k: int = 5) -> Column:
     """Distinct runs of k words; all words if there are fewer."""
-    w = words_of(text)
-    return F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) < k, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, k), " "))))
+
+    def made(w: Column) -> Column:
+        return F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) < k, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, k), " "))))
+
+    # A lambda's variable, so that the words are found once and not for each shingle.
+    return F.get(F.transform(F.array(words_of(text)), made), F.lit(0))
 
 
 def jaccard(a: Column, b: Column) -> Column:
