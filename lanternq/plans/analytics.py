@@ -142,8 +142,12 @@ def rate_limited(events: DataFrame, limit: int, seconds: int) -> DataFrame:
         ok = F.size(live) < limit
         return F.struct(F.when(ok, F.concat(live, F.array(e["t"]))).otherwise(live).alias("kept"), F.concat(s["out"], F.array(F.struct(e["event_id"].cast("bigint").alias("event_id"), ok.alias("allowed")))).alias("out")).cast(state)
 
-    # A key's events of one day are one fold: the window is far shorter, and a key does not grow without bound.
-    folded = events.groupBy("key", F.to_date("ts").alias("day")).agg(F.aggregate(order, start, step, lambda s: s["out"]).alias("o"))
+    # A key's events are cut only after a gap of at least the window, where no allowed event is live, so each run is a fold of its own from an empty state.
+    by_key = Window.partitionBy("key").orderBy("ts", "event_id")
+    t = F.unix_micros("ts")
+    new = F.coalesce((t - F.lag(t).over(by_key) >= seconds * 1_000_000).cast("int"), F.lit(1))
+    runs = events.select("key", "ts", "event_id", new.alias("new")).withColumn("run", F.sum("new").over(by_key.rowsBetween(Window.unboundedPreceding, 0)))
+    folded = runs.groupBy("key", "run").agg(F.aggregate(order, start, step, lambda s: s["out"]).alias("o"))
     return folded.select("key", F.explode("o").alias("o")).select("key", "o.event_id", "o.allowed")
 
 

@@ -131,6 +131,22 @@ def test_rate_limit_equals_loop(spark):
     assert got == want
 
 
+def test_rate_limit_crosses_midnight(spark):
+    from datetime import datetime, timedelta
+
+    start = datetime(2024, 1, 1, 22)
+    rows = [(k * 100 + i, k, start + timedelta(seconds=s)) for k in range(4) for i, s in enumerate(sorted(random.Random(k).sample(range(0, 40_000, 60), 90)))]
+    rows += [(900, 9, datetime(2024, 1, 1, 23, 15)), (901, 9, datetime(2024, 1, 2, 0, 10)), (902, 9, datetime(2024, 1, 2, 0, 15)), (903, 9, datetime(2024, 1, 2, 1, 10))]
+    got = {x["event_id"]: x["allowed"] for x in analytics.rate_limited(spark.createDataFrame(rows, "event_id long, key long, ts timestamp"), 1, 3600).collect()}
+    kept, want = {}, {}
+    for i, k, t in sorted(rows, key=lambda x: (x[2], x[0])):
+        live = [x for x in kept.get(k, []) if x > t - timedelta(seconds=3600)]
+        want[i] = not live
+        kept[k] = [*live, t] if want[i] else live
+    assert got == want
+    assert [got[i] for i in (900, 901, 902, 903)] == [True, False, True, False]
+
+
 def test_diff(spark):
     schema = "site_id string, id string, status string"
     a = spark.createDataFrame([("s", "x", "pass"), ("s", "y", "fail"), ("s", "z", "skip"), ("s", "w", "warn")], schema)
