@@ -232,3 +232,17 @@ def test_blocks_cover_three_bits():
         for _ in range(5000):
             flip = sum(1 << b for b in r.sample(range(64), 3))
             assert any(not m & flip for m in masks)
+
+
+def test_lines_of_one_edit_in_five_meet(docs, words):
+    """All pairs by Levenshtein alone, over line pairs that differ in a word or in letters."""
+    r = random.Random(8)
+    pairs = []
+    for k in range(40):
+        w = words(7000 + k, [2, 3, 6, 12, 25][k % 5], 4000).split()
+        w[r.randrange(len(w))] += "x" if k % 5 < 2 else "ab"
+        pairs.append((words(7000 + k, [2, 3, 6, 12, 25][k % 5], 4000), " ".join(w)))
+    rows = [(2 * k + i, x) for k, p in enumerate(pairs) for i, x in enumerate(p)]
+    similar = [k for k, (s, t) in enumerate(pairs) if levenshtein(s, t) <= int(max(len(s), len(t)) * 0.2 + 1e-9)]
+    dropped = {x["doc_id"] for x in N.line_dedup(docs(rows)).where("n_dropped = 1").collect()}
+    assert len(similar) > 25 and {2 * k + 1 for k in similar} <= dropped
