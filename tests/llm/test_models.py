@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -159,33 +160,48 @@ def levenshtein(a, b):
     return row[-1]
 
 
-def plain_lines(df, rows):
-    """Groups from all pairs; hashes and normal forms come from the operator's own columns, the rest is plain."""
-    lines = N._lines(df, "doc_id", "text")
-    sims = {r["h"]: r["sim"] & (2**64 - 1) for r in N.line_hashes(lines).collect()}
-    occ = [(r["id"] is None, r["id"] or 0, r["mark"], r["pos"], r["h"], r["norm"]) for r in lines.collect()]
-    norms = {o[4]: o[5] for o in occ}
-    root = {h: h for h in norms}
+def plain_norm(line):
+    """The normal form, character by character."""
+    out = []
+    for c in line.lower():
+        kind = unicodedata.category(c)[0]
+        c = "0" if kind == "N" else c if kind in "LM" else " "
+        if not (c in "0 " and out and out[-1] == c):
+            out.append(c)
+    return "".join(out).strip()
+
+
+def similar_lines(s, t):
+    most = int(max(len(s), len(t)) * 0.2 + 1e-9)
+    return abs(len(s) - len(t)) <= most and levenshtein(s, t) <= most
+
+
+def plain_lines(marks, rows):
+    """Occurrences that go, from all pairs of normalised lines by Levenshtein alone."""
+    occ = []
+    for k, t in rows:
+        key = (k is None, k or 0)
+        occ += [((*key, marks[(*key, t)], i), n) for i, x in enumerate((t or "").split("\n")) if t is not None and (n := plain_norm(x))]
+    root = {n: n for _, n in occ}
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for a, b in itertools.combinations(norms, 2):
-        s, t = norms[a], norms[b]
-        if (sims[a] ^ sims[b]).bit_count() <= N.RADIUS and levenshtein(s, t) <= int(max(len(s), len(t)) * (1 - N.SIMILARITY) + 1e-9):
-            root[find(b)] = find(a)
+    for s, t in itertools.combinations(root, 2):
+        if find(s) != find(t) and similar_lines(s, t):
+            root[find(t)] = find(s)
     first = {}
-    for o in sorted(occ):
-        first.setdefault(find(o[4]), o[:4])
-    return {o[:4] for o in occ if first[find(o[4])] != o[:4]}
+    for o, n in sorted(occ):
+        first.setdefault(find(n), o)
+    return {o for o, n in occ if first[find(n)] != o}
 
 
 def check_lines(docs, rows):
     df = docs(rows)
-    gone = plain_lines(df, rows)
     marks = {(r["doc_id"] is None, r["doc_id"] or 0, r["text"]): r["m"] for r in df.selectExpr("doc_id", "text", "xxhash64(text) AS m").collect()}
+    gone = plain_lines(marks, rows)
     want = []
     for k, t in rows:
         lines = t.split("\n") if t is not None else None
@@ -225,13 +241,60 @@ def test_lines_odd(docs, none):
     assert N.line_dedup(none).count() == 0
 
 
-def test_blocks_cover_three_bits():
-    for blocks in (5, 6, 7):
-        masks = N.block_masks(blocks)
-        r = random.Random(blocks)
-        for _ in range(5000):
-            flip = sum(1 << b for b in r.sample(range(64), 3))
-            assert any(not m & flip for m in masks)
+def test_line_breaks_and_digits(docs):
+    rows = [(1, "« Le petit – chat » 12"), (2, "le petit chat 7"), (3, "LE PETIT — CHAT, 123"), (4, "…—!"), (5, "…—!"), (6, "short"), (7, "other")]
+    got = {r["doc_id"]: r["n_dropped"] for r in N.line_dedup(docs(rows)).collect()}
+    assert got == {1: 0, 2: 1, 3: 1, 4: 0, 5: 0, 6: 0, 7: 0}
+
+
+def test_very_long_lines(docs, words):
+    """Lines that are compared by pieces and by words: one word in fifty, one letter in sixty, a block moved in, and a stranger."""
+    a = words(1, 3000)
+    w = a.split()
+    spaced = [f"q{i}" if i % 50 == 7 else x for i, x in enumerate(w)]
+    letters = "".join("z" if i % 60 == 9 and c != " " else c for i, c in enumerate(a))
+    rows = [(1, a), (2, " ".join(spaced)), (3, letters), (4, " ".join(w[:900] + words(2, 200).split() + w[900:])), (5, words(3, 3000)), (6, "w " * 30_000)]
+    assert {r["doc_id"]: r["n_dropped"] for r in N.line_dedup(docs(rows)).collect()} == {1: 0, 2: 1, 3: 1, 4: 1, 5: 0, 6: 0}
+
+
+def test_sums_over_pieces_are_never_below_the_distance(spark, words):
+    pairs = []
+    for k in range(30):
+        r, w = random.Random(k), words(k, 90).split()
+        for _ in range(r.randrange(12)):
+            i = r.randrange(len(w))
+            w[i : i + r.randrange(3)] = ["x" * r.randrange(9)] * r.randrange(3)
+        pairs.append((words(k, 90), " ".join(w) or "x"))
+    df = spark.createDataFrame(pairs, "s string, t string").selectExpr("*", "length(s) AS ls", "length(t) AS lt", "length(s) AS most").withColumn("sum", N._by_pieces())
+    for r in df.collect():
+        assert r["sum"] >= levenshtein(r["s"], r["t"])
+
+
+def planted_pairs(words, kinds=(("word", 0.05), ("word", 0.1), ("word", 0.15), ("letter", 0.02), ("letter", 0.05)), each=60):
+    """(kind, rate, line, edited line) whose normal forms differ and have edit similarity of at least 0.8 by Levenshtein."""
+    out = []
+    for kind, rate in kinds:
+        for k in range(each):
+            r, s = random.Random(f"{kind} {rate} {k}"), words(f"{kind} {rate} {k}", [6, 12, 25, 50, 80][k % 5], 4000)
+            cells = s.split() if kind == "word" else list(s)
+            for i in r.sample(range(len(cells)), max(1, round(len(cells) * rate))):
+                cells[i] = "".join(r.choice("etaoinshrdlu") for _ in cells[i])
+            t = (" " if kind == "word" else "").join(cells)
+            if plain_norm(s) != plain_norm(t) and similar_lines(plain_norm(s), plain_norm(t)):
+                out.append((kind, rate, s, t))
+    return out
+
+
+def test_recall_of_planted_pairs(docs, words):
+    """At least 0.9 of the pairs with changed words and of those with scattered letters, by Levenshtein alone."""
+    pairs = planted_pairs(words)
+    rows = [(2 * k + i, p[2 + i]) for k, p in enumerate(pairs) for i in range(2)]
+    gone = {x["doc_id"] for x in N.line_dedup(docs(rows)).where("n_dropped = 1").collect()}
+    for kind in ("word", "letter"):
+        own = [k for k, p in enumerate(pairs) if p[0] == kind]
+        found = sum(2 * k + 1 in gone for k in own) / len(own)
+        print(kind, len(own), found)
+        assert len(own) > 80 and found >= 0.9
 
 
 def test_lines_of_one_edit_in_five_meet(docs, words):
