@@ -9,14 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; only where that is unset (tests) a temporary one is set up."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder named in ``spark.checkpoint.dir`` or set with ``setCheckpointDir``. Only where both are unset and Spark runs on this machine alone (tests) a temporary one is set up; a cluster without one is an error."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='lanternq-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='lanternq-')}")
+        found = sc.getCheckpointDir()
     return found
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores behind it as make it differ from all ``columns`` (Spark ignores case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
