@@ -16,6 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from ..shared import fresh
 
 WIDTH, STEP = 6, 2
 BLOCK = 128
@@ -159,7 +162,9 @@ def learned(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col:
         model.p["out"][:] = 0
         return model
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
-    rows = texts.join(F.broadcast(chosen), "id").select("id", "y", "text").toPandas().sort_values(["id", "y"])
+    # However many rows repeat an id, one text of it is learned from: the one with the smallest hash.
+    found = texts.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one"))
+    rows = found.select("id", "y", "one.text").toPandas().sort_values(["id", "y"])
     if not len(rows):
         model.p["out"][:] = 0
         return model
@@ -168,8 +173,8 @@ def learned(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col:
     return model.fit([bytes(x) for x in rows["text"]], y.astype(np.float32), (weights / weights.mean()).astype(np.float32))
 
 
-def score_column(docs: DataFrame, model: ByteCNN, columns: dict[str, Column], text_col: str = "text") -> DataFrame:
-    """``columns`` of ``docs`` and the probability ``score``."""
+def score_column(docs: DataFrame, model: ByteCNN, columns: dict[str, Column], text_col: str = "text", out: str = "score") -> DataFrame:
+    """``columns`` of ``docs`` and the probability, named ``out`` (none of ``columns`` may have that name)."""
     params, size = model.p, 2048
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,9 +186,19 @@ def score_column(docs: DataFrame, model: ByteCNN, columns: dict[str, Column], te
                 scores = net.scores([x or b"" for x in part.column(0).to_pylist()], tables)
                 yield pa.record_batch([*part.columns[1:], pa.array(scores)], [*part.schema.names[1:], "score"])
 
-    wide = docs.select(F.col(text_col).cast("binary").alias("__text"), *[c.alias(k) for k, c in columns.items()])
-    kinds = ", ".join(f"`{k}` {t}" for k, t in wide.dtypes[1:])
-    return wide.mapInArrow(run, f"{kinds}, score double")
+    wide = docs.select(F.col(text_col).cast("binary").alias("bytes"), *[c.alias(f"c{i}") for i, c in enumerate(columns.values())])
+    schema = StructType([*wide.schema.fields[1:], StructField("score", DoubleType())])
+    return wide.mapInArrow(run, schema).toDF(*columns, out)
+
+
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score is at least THRESHOLD, with all their columns, whatever their names.
+
+    Learned from ``labels`` as in ``quality_scores``; null and empty texts are scored like any other, and repeated rows each.
+    """
+    out = fresh(docs.columns, "score")
+    scored = score_column(docs, learned(docs, labels, "quality", id_col, text_col), {c: F.col(f"`{c}`") for c in docs.columns}, text_col, out)
+    return scored.where(F.col(out) >= THRESHOLD).drop(out)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality") -> DataFrame:

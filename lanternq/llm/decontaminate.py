@@ -176,10 +176,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     Null and empty texts are clean; items without a word contaminate nothing; a null item_id is reported as null; repeated rows and items
     are each reported. ``out`` must not be a column of ``docs`` yet; other names may be anything.
     """
-    found = docs.withColumn(out, F.array().cast(SPAN))
+    place = docs.columns.index(text_col)
+    # Columns go by their places, so that no name can trouble the Arrow step.
+    found = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).withColumn("spans", F.array().cast(SPAN))
     for block in _blocks(benchmark, item_col, item_text):
         index = Index(block)
-        place = found.columns.index(text_col)
 
         def scan(batches: Iterator[pa.RecordBatch], index: Index = index, place: int = place) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -191,7 +192,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                     yield pa.record_batch([*part.columns[:-1], rows], part.schema.names)
 
         found = found.mapInArrow(scan, found.schema)
-    return found
+    return found.toDF(*docs.columns, out)
 
 
 def _portions(batch: pa.RecordBatch, place: int) -> Iterator[pa.RecordBatch]:

@@ -4,9 +4,10 @@ For each language, a suffix automaton holds every substring of a sample of its l
 the automaton has; the fewer phrases a text needs, relative to its length, the closer it is to the language. The normalised count is
 phrases * log2(sample length) / length, an estimate of cross-entropy in bits per character, and the smallest wins (ties: the language that sorts first).
 
-Texts are parsed whole: letters in lower case, everything else one blank. The parse starts anew every BLOCK characters, the same for all
-languages, so that all blocks of a batch and all languages move in step through one transition table in numpy. A missing transition is stored as
-the transition from the start with a flag, so that a step is one look-up; flags count phrases.
+Texts are parsed whole, from the first character to the last: letters in lower case, everything else one blank. All texts of a portion and all languages move in step
+through one transition table in numpy. A missing transition is stored as the transition from the start with a flag, so that a step is one look-up; flags count phrases.
+The table is dense for the DENSE letters that are most frequent in the samples; transitions by other letters of the samples are looked up in a sorted list, so that scripts of any size
+are told apart letter by letter.
 """
 
 from __future__ import annotations
@@ -20,12 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FOLDS, HELD_OUT = 4, 2
-#: A language's sample: from about so many rows, with texts of at most so many characters, so many characters in total.
+#: A language's sample: from about so many rows, of each text the first so many characters at most, so many characters in total.
 SAMPLE_ROWS, SAMPLE_TEXT, SAMPLE_CHARS = 64, 4096, 24_000
 #: More languages than this are an error.
 MOST_LANGUAGES = 200
-LETTERS = 46
-BLOCK = 2048
+DENSE = 62
 #: Characters parsed together.
 PORTION = 1 << 22
 FLAG = np.int32(1 << 30)
@@ -48,11 +48,10 @@ def _letters() -> np.ndarray:
 
 
 class Automaton:
-    """Suffix automaton of a sequence of codes below ``size``; ``table`` has a row for each state, -1 where there is no transition."""
+    """Suffix automaton of a sequence of codes; ``rows`` has the transitions of each state."""
 
-    def __init__(self, codes: list[int], size: int):
+    def __init__(self, codes: list[int]):
         n = 2 * len(codes) + 2
-        table = np.full((n, size), -1, np.int32)
         link, length = [-1] * n, [0] * n
         states, last = 1, 0
         rows: list[dict[int, int]] = [{}]
@@ -79,37 +78,56 @@ class Automaton:
                         rows[p][c] = clone
                         p = link[p]
             last = new
-        for i, row in enumerate(rows):
-            for c, to in row.items():
-                table[i, c] = to
-        self.table = table[:states]
+        self.rows = rows
 
 
 class Parser:
-    """Automata of several languages, laid out as one table. Code 0 is a blank, 1 any letter that is none of the LETTERS most frequent in the samples."""
+    """Automata of several languages, laid out as one table. Code 0 is a blank, 1 any letter that no sample has, then come the letters of the samples, the most frequent first; codes of ``size`` and over are not in the table but in ``rare``."""
 
     def __init__(self, samples: dict[str, list[str]]):
         self.languages = sorted(samples)
         texts = {k: np.concatenate([folded(t + " ") for t in samples[k]] or [np.zeros(0, np.uint32)])[:SAMPLE_CHARS] for k in self.languages}
         points, counts = np.unique(np.concatenate([*texts.values(), np.zeros(0, np.uint32)]), return_counts=True)
-        usual = [int(p) for _, p in sorted((-int(n), int(p)) for p, n in zip(points, counts, strict=True) if p != 32)][:LETTERS]
-        self.codes = np.ones(0x110000, np.uint8)
+        usual = [p for _, p in sorted((-int(n), int(p)) for p, n in zip(points, counts, strict=True) if p != 32)]
+        self.codes = np.ones(0x110000, np.int32)
         self.codes[32] = 0
         self.codes[usual] = np.arange(2, len(usual) + 2)
-        self.size = len(usual) + 2
+        self.size, self.all = min(len(usual), DENSE) + 2, len(usual) + 2
         self.rates = np.array([math.log2(max(2, len(texts[k]))) for k in self.languages])
-        tables, self.roots, at = [], [], 0
+        tables, rare, self.roots, self.closed, at = [], {}, [], [], 0
         for k in self.languages:
-            table = Automaton(self.codes[texts[k]].tolist(), self.size).table
+            rows = Automaton(self.codes[texts[k]].tolist()).rows
+            table = np.full((len(rows), self.size), -1, np.int32)
+            for i, row in enumerate(rows):
+                for c, to in row.items():
+                    if c < self.size:
+                        table[i, c] = to
+                    else:
+                        rare[(at + i) * self.all + c] = at + to
             # A letter that the sample lacks is a phrase of its own; the last row is where it leads, and whatever follows begins a phrase.
             known, closed = table[0] >= 0, at + len(table)
             again = np.where(known, table[0] + at, closed)
-            rows = np.where(table < 0, again | FLAG, table + at)
-            rows[0] = again
-            tables.append(np.vstack((rows, again | FLAG)).astype(np.int32))
+            filled = np.where(table < 0, again | FLAG, table + at)
+            filled[0] = again
+            tables.append(np.vstack((filled, again | FLAG)).astype(np.int32))
             self.roots.append(at)
+            self.closed.append(closed)
             at = closed + 1
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+        self.keys = np.array(sorted(rare), np.int64)
+        self.targets = np.array([rare[x] for x in sorted(rare)], np.int32)
+
+    def _rare(self, state: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Where codes that are not in the table lead from states (languages, texts)."""
+
+        def look(keys: np.ndarray) -> np.ndarray:
+            found = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            return np.where(self.keys[found] == keys, self.targets[found], -1)
+
+        roots = np.array(self.roots, np.int64)[:, None]
+        to, first = look(state.astype(np.int64) * self.all + codes), look(roots * self.all + codes)
+        first = np.where(first < 0, np.array(self.closed, np.int32)[:, None], first)
+        return np.where(to >= 0, to, np.where(state == roots, first, first | FLAG))
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each folded text (rows) in each language (columns)."""
@@ -118,27 +136,27 @@ class Parser:
         if not sizes.sum() or not self.languages:
             return out
         whole = self.codes[np.concatenate(texts)]
-        blocks = -(-sizes // BLOCK)
-        doc = np.repeat(np.arange(len(texts)), blocks)
-        number = np.arange(len(doc)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        begin = np.repeat(np.cumsum(sizes) - sizes, blocks) + number * BLOCK
-        length = np.minimum(BLOCK, np.repeat(sizes, blocks) - number * BLOCK)
-        order = np.argsort(-length, kind="stable")
-        doc, begin, length = doc[order], begin[order], length[order]
+        begin = np.cumsum(sizes) - sizes
+        order = np.argsort(-sizes, kind="stable")
+        order = order[sizes[order] > 0]
+        begin, length = begin[order], sizes[order]
         steps = int(length[0])
-        grid = np.zeros((len(doc), steps), np.uint8)
-        for i, (s, n) in enumerate(zip(begin.tolist(), length.tolist(), strict=True)):
-            grid[i, :n] = whole[s : s + n]
-        grid = np.ascontiguousarray(grid.T)
-        active = np.searchsorted(-length, -np.arange(steps), "left")  # blocks longer than the step
-        state = np.repeat(np.array(self.roots, np.int32)[:, None], len(doc), 1)
-        count = np.ones((len(self.languages), len(doc)), np.int32)
+        active = np.searchsorted(-length, -np.arange(steps), "left")  # texts longer than the step
+        state = np.repeat(np.array(self.roots, np.int32)[:, None], len(order), 1)
+        count = np.ones((len(self.languages), len(order)), np.int64)
+        sparse = bool(len(self.keys))
         for j in range(steps):
             n = int(active[j])
-            to = self.table[state[:, :n] * np.int32(self.size) + grid[j, :n]]
+            codes = whole[begin[:n] + j]
+            if sparse and (odd := np.flatnonzero(codes >= self.size)).size:
+                usual = np.where(codes < self.size, codes, 0)
+                to = self.table[state[:, :n] * np.int32(self.size) + usual]
+                to[:, odd] = self._rare(state[:, odd], codes[odd])
+            else:
+                to = self.table[state[:, :n] * np.int32(self.size) + codes]
             count[:, :n] += to >= FLAG
             state[:, :n] = to & (FLAG - 1)
-        np.add.at(out, doc, count.T)
+        out[order] = count.T
         return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -160,8 +178,8 @@ class Parser:
 def samples(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[str, list[str]]:
     """Bounded samples of labelled rows outside the held-out fold, by the smallest hashes of the id."""
     fold = F.crc32(F.col(id_col).cast("string")) % FOLDS
-    known = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("order"), F.shiftrightunsigned(F.xxhash64(id_col), 33).alias("draw")).where(
-        F.col(id_col).isNotNull() & (fold != HELD_OUT) & F.col("lang").isNotNull() & (F.length("text") <= SAMPLE_TEXT) & F.col("text").rlike(r"\p{L}")
+    known = docs.select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, SAMPLE_TEXT).alias("text"), F.xxhash64(id_col).alias("order"), F.shiftrightunsigned(F.xxhash64(id_col), 33).alias("draw")).where(
+        F.col(id_col).isNotNull() & (fold != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
     )
     counts = known.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()
     if len(counts) > MOST_LANGUAGES:

@@ -6,8 +6,8 @@ fingerprints differ span at most four dimensions, so some v is orthogonal to all
 every linked pair meets in a table, without exception. About half of the bits are kept, so others rarely meet.
 
 Rows with one fingerprint are one vertex from the start. Vertices that share a bucket are compared in numpy, streaming over sorted partitions; a
-bucket yields a forest of links, never all its pairs. A bucket of over BLOCK vertices is cut into blocks, and every two of its
-blocks are compared as a task's group of its own, so that no task gathers a bucket and no pair is left out.
+bucket yields a forest of links, never all its pairs. In a bucket of over BLOCK vertices all are first compared with the smallest one; only if that leaves several
+components, the bucket is cut into blocks, and every two of its blocks are compared as a task's group of its own, so that no task gathers a bucket and no pair is left out.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..shared import parked
+from ..shared import fresh, parked
 
 RADIUS = 4
 SHINGLE = 4
@@ -59,6 +59,12 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.record_batch([b.column(0), pa.array(marks.view(np.int64))], ["id", "fp"])
 
 
+def _row_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        marks = np.fromiter((fingerprint(x.as_py()) for x in b.column(2)), np.uint64, b.num_rows)
+        yield pa.record_batch([b.column(0), b.column(1), pa.array(marks.view(np.int64))], ["id", "row", "fp"])
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp) for each row; fp holds the 64 bits as a signed long."""
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(_fingerprints, "id long, fp long")
@@ -124,13 +130,43 @@ def links(nodes: DataFrame) -> DataFrame:
     """Links (src, dst) that connect the distinct fingerprints ``fp`` of ``nodes``."""
     tables = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for t, m in enumerate(covering_masks())])
     keys = nodes.select("fp", F.explode(tables).alias("bucket"))
-    shared = keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = keys.groupBy("bucket").agg(F.count("*").alias("n"), F.min("fp").alias("pivot")).where("n > 1")
+    met = parked(keys.join(shared, "bucket"), "met")
+    large = met.where(F.col("n") > BLOCK)
+    star = parked(large.where((F.col("fp") != F.col("pivot")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("pivot"))) <= RADIUS)).select(F.col("pivot").alias("src"), F.col("fp").alias("dst")).distinct(), "star")
+    roots = parked(connected_components(star).withColumnRenamed("node", "fp"), "pivots")
+    several = large.join(roots, "fp", "left").groupBy("bucket").agg(F.min(F.coalesce("root", "fp")).alias("lo"), F.max(F.coalesce("root", "fp")).alias("hi")).where("lo != hi").select("bucket")
+    rest = met.where(F.col("n") <= BLOCK).unionAll(large.join(several, "bucket", "left_semi").select(*met.columns))
     blocks = F.ceil(F.col("n") / BLOCK).cast("long")
-    own = F.pmod(F.xxhash64("fp"), "blocks")
-    met = keys.join(shared, "bucket").select("fp", "bucket", blocks.alias("blocks")).withColumn("own", own)
-    pairs = met.withColumn("other", F.explode(F.when(F.col("blocks") > 1, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(F.lit(0).cast("long")))))
+    pairs = rest.select("fp", "bucket", blocks.alias("blocks")).withColumn("own", F.pmod(F.xxhash64("fp"), "blocks"))
+    pairs = pairs.withColumn("other", F.explode(F.when(F.col("blocks") > 1, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(F.lit(0).cast("long")))))
     group = F.when(F.col("blocks") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")))
-    return pairs.select(group.alias("grp"), "fp").repartition("grp").sortWithinPartitions("grp", "fp").mapInArrow(_links, "src long, dst long")
+    within = pairs.select(group.alias("grp"), "fp").repartition("grp").sortWithinPartitions("grp", "fp").mapInArrow(_links, "src long, dst long")
+    return within.unionAll(star)
+
+
+def _rooted(nodes: DataFrame) -> DataFrame:
+    """(fp, root) of the distinct fingerprints ``fp`` of ``nodes``."""
+    found = parked(connected_components(links(nodes)).withColumnRenamed("node", "fp"), "roots")
+    return nodes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each group of near duplicates, with all its columns: the row with the smallest id, null last.
+
+    Rows that repeat an id, and rows without one, take part like all others; of rows of a group with the same id the one with the smallest hash of all its columns stays, and of rows
+    equal in all columns one. Null and empty texts are one group. Columns that cannot be hashed (maps) do not tell rows apart. An empty table gives no rows.
+    """
+    whole = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    r = fresh(docs.columns, "r")
+    q = fresh([*docs.columns, r], "q")
+    wide = docs.withColumns({r: F.xxhash64(*whole), q: F.xxhash64(F.lit("second"), *whole)})
+    named = wide.select(F.col(id_col).cast("long").alias("id"), F.struct(F.col(r).alias("r"), F.col(q).alias("q")).alias("row"), F.col(text_col).cast("binary").alias("text"))
+    marks = parked(named.mapInArrow(_row_fingerprints, "id long, row struct<r: bigint, q: bigint>, fp long"), "fingerprints")
+    rooted = parked(_rooted(parked(marks.select("fp").distinct(), "nodes")), "rooted")
+    best = marks.join(rooted, "fp").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best"))
+    kept = parked(best.select(F.col("best.row.r").alias(r), F.col("best.row.q").alias(q)), "kept")
+    return wide.join(kept, [r, q], "left_semi").dropDuplicates([r, q]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,8 +178,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     marks = parked(fingerprints(docs, id_col, text_col), "fingerprints")
     nodes = parked(marks.groupBy("fp").agg(F.min("id").alias("low")), "nodes")
-    found = parked(connected_components(links(nodes)).withColumnRenamed("node", "fp"), "roots")
-    rooted = parked(nodes.join(found, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "rooted")
+    rooted = parked(_rooted(nodes).select("fp", "low", "root"), "rooted")
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = parked(rooted.join(parked(least, "least"), "root").select("fp", "component_id"), "named")
     return marks.join(named, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

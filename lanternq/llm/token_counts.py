@@ -2,19 +2,18 @@
 
 A text's pre-tokens are its runs of ``[^\\x20\\x09-\\x0D]+``, each with the word mark in front. The best segmentation of a pre-token maximises the
 sum of its pieces' scores (on equal sums it has the fewest pieces); its forward score up to a character depends on nothing
-after it. The distinct pre-tokens therefore go into a trie, which is walked depth-first: in sorted order, each one continues from the longest
-prefix that it shares with the one before, whose forward scores stand on the stack. Every shared prefix is scored once, and the count at
-the end of each pre-token is stored. Counts of documents are sums of stored counts.
+after it. The distinct pre-tokens therefore go into a trie whose nodes hold the forward score of the prefix that leads to them: a pre-token
+walks down the nodes that are there and scores only the characters beyond. The count at its end is stored, and counts of documents are sums of stored counts.
 
-Each Python worker keeps counts of pre-tokens it has met, up to CACHE_WORDS. Nothing is shuffled.
+Each Python worker keeps its trie and the stored counts for all partitions that it works on, and begins anew beyond NODES nodes or CACHE_WORDS counts, so
+that its memory is bounded; results do not depend on that. Nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 #: A character without a piece falls back to its UTF-8 bytes, each a token this much below the rarest piece.
 BYTE_PENALTY = 10.0
-CACHE_WORDS = 400_000
+CACHE_WORDS, NODES = 400_000, 1_000_000
 SLICE = 512
 
 
@@ -43,59 +42,78 @@ class Unigram:
             lengths.setdefault(piece[-1], set()).add(len(piece))
         self.lengths = {c: sorted(x) for c, x in lengths.items()}
 
-    def counts(self, words: Iterable[str]) -> Iterator[tuple[str, int]]:
-        """(pre-token, tokens) for distinct pre-tokens (without the mark)."""
-        scores, lengths, byte = self.scores, self.lengths, self.byte
-        forward, tokens, before = [0.0], [0], ""
-        for word in sorted(words):
-            path = MARK + word
-            shared = 0
-            for a, b in zip(before, path, strict=False):
-                if a != b:
-                    break
-                shared += 1
-            del forward[shared + 1 :], tokens[shared + 1 :]
-            for end in range(shared + 1, len(path) + 1):
-                last = path[end - 1]
+
+class Trie:
+    """Prefixes of pre-tokens met so far. Node 0 is the empty prefix; a child is found by its parent and the character that leads to it."""
+
+    def __init__(self, model: Unigram):
+        self.model = model
+        self.child: dict[int, int] = {}
+        self.forward, self.tokens = [0.0], [0]
+
+    def count(self, word: str) -> int:
+        """Tokens of the best segmentation of a pre-token (without the mark)."""
+        child, forward, tokens = self.child, self.forward, self.tokens
+        scores, lengths, byte = self.model.scores, self.model.lengths, self.model.byte
+        text, node, way = MARK + word, 0, [0]
+        for end, last in enumerate(text, 1):
+            key = node << 21 | ord(last)
+            node = child.get(key, 0)
+            if not node:
                 best, fewest = -math.inf, 0
                 for size in lengths.get(last, ()):
                     if size > end:
                         break
-                    score = scores.get(path[end - size : end])
+                    score = scores.get(text[end - size : end])
                     if score is not None:
-                        total, n = forward[end - size] + score, tokens[end - size] + 1
+                        before = way[end - size]
+                        total, n = forward[before] + score, tokens[before] + 1
                         if total > best or (total == best and n < fewest):
                             best, fewest = total, n
                 if last not in scores:
                     width = len(last.encode("utf-8", "surrogatepass"))
-                    total, n = forward[end - 1] + width * byte, tokens[end - 1] + width
+                    total, n = forward[way[end - 1]] + width * byte, tokens[way[end - 1]] + width
                     if total > best or (total == best and n < fewest):
                         best, fewest = total, n
+                node = child[key] = len(forward)
                 forward.append(best)
                 tokens.append(fewest)
-            before = path
-            yield word, tokens[-1]
+            way.append(node)
+        return tokens[node]
+
+
+class Counter:
+    """Stored counts of pre-tokens, as bytes. Bytes that are not UTF-8 count as replacement characters."""
+
+    def __init__(self, model: Unigram):
+        self.model, self.trie, self.known = model, Trie(model), {}
+
+    def counts(self, split: list[list[bytes]]) -> list[int]:
+        """Tokens of each list of pre-tokens."""
+        fresh = set().union(*split).difference(self.known)
+        if len(self.known) + len(fresh) > CACHE_WORDS:
+            self.known.clear()
+            fresh = set().union(*split)
+        for w in fresh:
+            if len(self.trie.forward) > NODES:
+                self.trie = Trie(self.model)
+            self.known[w] = self.trie.count(w.decode("utf-8", "replace"))
+        return [sum(map(self.known.__getitem__, s)) for s in split]
 
 
-_models: dict[str, tuple[Unigram, dict[bytes, int]]] = {}
+_counters: dict[str, Counter] = {}
 
 
 def _counter(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _models:
-            _models[path] = Unigram(path), {}
-        model, known = _models[path]
+        if path not in _counters:
+            _counters[path] = Counter(Unigram(path))
+        counter = _counters[path]
         for b in batches:
             for i in range(0, b.num_rows, SLICE):
                 part = b.slice(i, SLICE)
                 split = [(x or b"").split() for x in part.column(1).to_pylist()]
-                fresh = set().union(*split).difference(known)
-                if len(known) + len(fresh) > CACHE_WORDS:
-                    known.clear()
-                    fresh = set().union(*split)
-                known.update((w.encode(), n) for w, n in model.counts([w.decode("utf-8", "replace") for w in fresh]))
-                totals = [sum(map(known.__getitem__, s)) for s in split]
-                yield pa.record_batch([part.column(0), pa.array(list(map(len, split)), pa.int64()), pa.array(np.array(totals, np.int64))], ["doc_id", "n_pretokens", "n_tokens"])
+                yield pa.record_batch([part.column(0), pa.array(list(map(len, split)), pa.int64()), pa.array(counter.counts(split), pa.int64())], ["doc_id", "n_pretokens", "n_tokens"])
 
     return run
 
@@ -103,7 +121,7 @@ def _counter(path: str):
 def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_pretokens, n_tokens.
 
-    Null and empty texts have 0 of both. ``vocabulary`` is a path that executors can read too. Repeated rows are counted each, null ids are kept,
+    Null and empty texts have 0 of both; bytes that are not UTF-8 count as replacement characters. ``vocabulary`` is a path that executors can read too. Repeated rows are counted each, null ids are kept,
     other columns are not read.
     """
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(_counter(vocabulary), "doc_id long, n_pretokens long, n_tokens long")

@@ -69,23 +69,22 @@ def test_leaks_empty(docs, none, spark):
 
 
 def plain_phrases(sample, text):
-    count = 0
-    for begin in range(0, len(text), L.BLOCK):
-        block, i = text[begin : begin + L.BLOCK], 0
-        while i < len(block):
-            n = 1
-            while i + n < len(block) + 1 and block[i : i + n] in sample and i + n <= len(block):
-                n += 1
-            step = max(1, n - 1)
-            count += 1
-            i += step
+    count, i = 0, 0
+    while i < len(text):
+        n = 1
+        while i + n <= len(text) and text[i : i + n] in sample:
+            n += 1
+        count += 1
+        i += max(1, n - 1)
     return count
 
 
-def test_phrases_equal_plain_search(words):
-    texts = {"a": [words(1, 200)], "b": ["été là où ça " * 30]}
+@pytest.mark.parametrize("dense", [62, 3])
+def test_phrases_equal_plain_search(words, monkeypatch, dense):
+    monkeypatch.setattr(L, "DENSE", dense)
+    texts = {"a": [words(1, 200)], "b": ["été là où ça " * 30], "c": ["".join(chr(0x4E00 + i * i % 997) for i in range(3000))]}
     parser = L.Parser(texts)
-    some = [words(2, 50), "là été où", "", "zzz 12", "x" * 5000]
+    some = [words(2, 50), "là été où", "", "zzz 12", "x" * 5000, texts["c"][0][100:400] + "丂 là", words(3, 900)]
     folded = [L.folded(t) for t in some]
     got = parser.phrases(folded)
     for j, k in enumerate(parser.languages):
@@ -94,6 +93,25 @@ def test_phrases_equal_plain_search(words):
             assert got[i, j] == plain_phrases(sample, "".join(chr(c) for c in parser.codes[f] + 65))
 
 
+def test_predictions_equal_plain_search(words):
+    """The language whose count of phrases, normalised by both lengths, is smallest."""
+    texts = {"a": [words(1, 300)], "b": ["été là où ça mère très " * 40], "c": ["".join(chr(0x4E00 + i * i % 997) for i in range(2000))]}
+    parser = L.Parser(texts)
+    some = [words(5, 40), "là mère été", texts["c"][0][500:520], "thereonan é", "Ω"]
+    samples = {k: "".join(map(chr, L.folded(t[0] + " ")))[: L.SAMPLE_CHARS] for k, t in texts.items()}
+    for text, (lang, score) in zip(some, parser.predict(some), strict=True):
+        f = "".join(map(chr, L.folded(text)))
+        bits = {k: plain_phrases(s, f) * np.log2(len(s)) / len(f) for k, s in samples.items()}
+        assert lang == min(sorted(bits), key=bits.get)
+        low = sorted(bits.values())
+        assert score == pytest.approx(1 - low[0] / low[1])
+
+
+def test_long_texts_teach_their_language(docs):
+    rows = [(k, f"uno due tre quattro {k} " * 900, "it") for k in range(8)] + [(k, f"one two three four {k} " * 3, "en") for k in range(10, 18)]
+    assert {r["doc_id"]: r["lang_pred"] for r in L.languages(docs(rows)).collect()} == {r[0]: r[2] for r in rows}
+
+
 def test_languages_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = L.languages(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
@@ -115,6 +133,53 @@ def test_scores_do_not_depend_on_neighbours():
     assert net.scores(texts) == pytest.approx([float(net.scores([t])[0]) for t in texts])
 
 
+def plain_score(net, text):
+    """The network as loops over a text's bytes: filters at every second byte, the best response of each chunk of two blocks, hidden layer, mean and maximum."""
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    n = (len(text) + Q.WIDTH - Q.STEP) // Q.BLOCK + 1
+    data = text + bytes(n * Q.BLOCK - len(text))
+    peaks = np.full((n, net.filters), -np.inf)
+    for i in range(0, len(data) - Q.WIDTH + 1, Q.STEP):
+        peaks[i // Q.BLOCK] = np.maximum(peaks[i // Q.BLOCK], sum(p["conv"][j, data[i + j]] for j in range(Q.WIDTH)))
+    hidden = []
+    for i in range(n):
+        chunk = np.maximum(peaks[i : i + 2].max(0) + p["conv_b"], 0)
+        hidden.append(np.maximum(chunk @ p["mix"] + p["mix_b"], 0))
+    pooled = np.concatenate((np.mean(hidden, 0), np.max(hidden, 0)))
+    return 1 / (1 + np.exp(-(pooled @ p["out"] + p["out_b"][0])))
+
+
+def test_scores_equal_plain_convolution(words):
+    net = Q.ByteCNN(5, 4, 3)
+    texts = [b"", b"a", b"x" * 127, words(1, 60).encode(), bytes(range(256)) * 3, "été 😀".encode() * 70]
+    assert net.scores(texts) == pytest.approx([plain_score(net, t) for t in texts], rel=1e-4)
+
+
+def test_learned_once_from_a_repeated_id(docs, spark):
+    rows = [(1, f"good words {k}") for k in range(40)] + [(3, "### !!!")]
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")
+    seen = []
+    model = Q.ByteCNN.fit
+
+    def fit(self, texts, y, w):
+        seen.append((len(texts), sorted(y.tolist())))
+        return model(self, texts, y, w)
+
+    Q.ByteCNN.fit = fit
+    try:
+        Q.learned(docs(rows), labels)
+    finally:
+        Q.ByteCNN.fit = model
+    assert seen == [(2, [0.0, 1.0])]
+
+
+def test_accepted_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(4, "good words here", 0.1, "x"), (5, None, None, None)], "doc_id long, text string, score double, `a.b` string")
+    labels = spark.createDataFrame([(4, 1)], "doc_id long, quality int")
+    got = Q.accepted(df, labels)
+    assert got.columns == df.columns and set(map(tuple, got.collect())) <= set(map(tuple, df.collect()))
+
+
 def test_gradients_equal_differences():
     net = Q.ByteCNN(3, 4, 1)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}

@@ -42,9 +42,27 @@ def test_near_duplicate_stage(stages):
     assert sorted(r["doc_id"] for r in done.collect()) == sorted({c for _, _, c in brute_groups(rows)})
 
 
-def test_near_duplicate_stage_keeps_one_of_repeated_rows(spark, docs):
-    df = docs([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "q"), (None, "q"), (3, None)])
-    assert sorted((r["doc_id"] or -1) for r in P.near_duplicates(spark, df, FOLDER).collect()) == [-1, -1, 1, 3]
+def test_near_duplicate_stage_keeps_one_row_of_each_group(spark, docs):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "q"), (None, "q"), (3, None), (4, ""), (5, "one text of its own"), (5, "and another one that shares the id"), (None, "one text of its own")]
+    got = P.near_duplicates(spark, docs(rows), FOLDER).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted([(1, "a b c d e f"), (None, "q"), (3, None), (5, "one text of its own"), (5, "and another one that shares the id")], key=repr)
+
+
+CLASHES = "doc_id long, text string, lang string, source string, n_chars long, score double, leaks string, bytes string, fp long, r long, copies long, `a.b` string"
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_on_odd_tables(spark, k):
+    """Null cells, empty and very long texts, repeated rows, clashing names, and no rows at all."""
+    _, stage = P.STAGES[k]
+    rows = [(1, "good words " * 20), (1, "good words " * 20), (None, "a b c d e"), (2, None), (3, ""), (4, " \t\n"), (5, "long " * 40_000), (6, "é 😀 \x0b z")]
+    df = spark.createDataFrame([(i, t, "en" if i else None, "src1" if t else None, 1, 0.5, None, "x", 7, 8, 9, "y") for i, t in rows], CLASHES)
+    got = stage(spark, df, FOLDER)
+    if k < 4:
+        assert got.columns == df.columns and set(map(tuple, got.collect())) <= set(map(tuple, df.collect()))
+    else:
+        assert got.count() == len(rows)
+    assert stage(spark, df.limit(0), FOLDER).count() == 0
 
 
 def test_decontamination_stage(spark, stages):

@@ -39,7 +39,9 @@ def viterbi(model, word):
 
 def test_trie_counts_equal_plain_search(unigram, words):
     some = set(words(1, 400).split()) | {"a", "ab", "abc", "😀", "x😀y", "É", "zzzzzzzz", "the", "there", "they", "1234", "é́"}
-    got = dict(unigram.counts(some))
+    trie = C.Trie(unigram)
+    got = {w: trie.count(w) for w in [*some, *some]}
+    assert len(trie.forward) - 1 == len({(C.MARK + w)[:i] for w in some for i in range(1, len(w) + 2)})
     assert got == {w: viterbi(unigram, w) for w in some}
 
 
@@ -50,14 +52,14 @@ def test_counts_of_documents(odd, unigram):
     want = []
     for k, t in ODD:
         w = [x.decode() for x in (t or "").encode().split()]
-        want.append((k, len(w), sum(dict(unigram.counts({x}))[x] for x in w)))
+        want.append((k, len(w), sum(viterbi(unigram, x) if len(x) < 500 else C.Trie(unigram).count(x) for x in w)))
     assert got == sorted(want, key=repr)
 
 
 def test_cache_turns_over(docs, words, monkeypatch, unigram):
-    known = {}
     monkeypatch.setattr(C, "CACHE_WORDS", 5)
-    monkeypatch.setitem(C._models, PIECES, (unigram, known))
+    monkeypatch.setattr(C, "NODES", 9)
+    monkeypatch.setitem(C._counters, PIECES, C.Counter(unigram))
     import pyarrow as pa
 
     texts = [words(i, 6).encode() for i in range(4)]
@@ -65,6 +67,11 @@ def test_cache_turns_over(docs, words, monkeypatch, unigram):
     assert out.column(2).to_pylist() == [sum(viterbi(unigram, w.decode()) for w in t.split()) for t in texts]
 
 
+def test_counts_of_bytes_that_are_not_text(spark, unigram):
+    df = spark.sql("SELECT 1L AS doc_id, cast(unhex('FFFE2061') AS string) AS text")
+    assert tuple(C.token_counts(df, PIECES).first()) == (1, 2, viterbi(unigram, "\ufffd\ufffd") + viterbi(unigram, "a"))
+
+
 def test_counts_empty(none):
     assert C.token_counts(none, PIECES).count() == 0
 
