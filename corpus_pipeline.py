@@ -7,40 +7,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanternq.llm import byte_cnn, decontaminate, mixing, simhash, token_store
-from lanternq.shared import parked
+from lanternq.shared import fresh, parked
 from lanternq.sources.tables import table
 
 TOKENIZER = "word_bpe_49k.json"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts. It is fitted on labelled documents of the corpus outside the held-out fold."""
-    model = byte_cnn.learned(docs, table(spark, sf_dir, "labels"))
-    scored = byte_cnn.score_column(docs, model, {x: F.col(x) for x in docs.columns})
-    return scored.where(F.col("score") >= byte_cnn.THRESHOLD).select(*docs.columns)
+    """Documents that the classifier accepts. It is fitted on labelled documents of the corpus outside the held-out fold.
+
+    Null and empty texts are scored like any other, repeated rows each; columns may have any names. An empty table gives no rows.
+    """
+    return byte_cnn.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group, once; documents without an id cannot be named and stay."""
-    groups = simhash.near_groups(docs)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(parked(kept, "kept"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionAll(docs.where(F.col("doc_id").isNull()))
+    """Exactly one row of each near-duplicate group, the one with the smallest id; null ids come last, and rows that share an id are told apart by all their columns.
+
+    Null and empty texts are one group. An empty table gives no rows.
+    """
+    return simhash.representatives(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), out="__leaks")
-    return found.where(F.size("__leaks") == 0).select(*docs.columns)
+    """Documents without a benchmark passage. Null and empty texts are clean, repeated rows are judged each, columns may have any names, an empty table gives no rows."""
+    out = fresh(docs.columns, "leaks")
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), out=out)
+    return found.where(F.size(out) == 0).drop(out)
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture takes them."""
-    return mixing.mixed(docs).select(*docs.columns)
+    """Documents as often as the mixture takes them. Null texts have no tokens, null languages and sources count as empty names, rows that repeat an id in a leaf are taken together; columns may have any names but
+    those with two underscores in front; an empty table gives no rows."""
+    return mixing.mixed(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token store's documents, read back from its files."""
+    """The token store's documents, read back from its files. Null texts count as empty, null ids come last, repeated rows are stored each, other columns are not read, an empty table gives no rows."""
     return token_store.token_documents(docs, public_tokenizers.path(TOKENIZER))
 
 
