@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.checks.catalog import CHECKS, WEIGHTS
@@ -21,14 +21,17 @@ def rolled(findings: DataFrame) -> DataFrame:
     """(site_id, id, status, detail) from (site_id, id, rollup, seq, label, severity). Rows with a null severity count for nothing.
 
     Rollups: ``agg``: fail if less than 80 % conform, else warn; ``sev``: the worst; ``warn`` and ``any``: warn or fail if there is an offender; ``lang``: as agg if a page
-    fails outright, else warn. Only each partition's first offenders are kept for the detail, so a site's size does not matter.
+    fails outright, else warn. The detail names the first three offenders, then how many more there are; only three rows of each check and task
+    reach the shuffle for that, so a site's size does not matter. ``findings`` is read twice: pass a written table.
     """
     bad = F.col("severity") > 0
     kept = findings.where("severity IS NOT NULL")
     per = kept.groupBy("site_id", "id", "rollup").agg(
         F.count("*").alias("total"), F.count_if(bad).alias("bad"), F.max("severity").alias("worst"),
-        *[F.min(F.when(bad, F.struct("seq", "label"))).alias("first")],
     )
+    place = F.row_number().over(Window.partitionBy("site_id", "id").orderBy("seq", "label"))
+    shown = kept.where(bad).withColumn("place", place).where(F.col("place") <= SHOWN).groupBy("site_id", "id").agg(F.array_sort(F.collect_list(F.struct("place", "label"))).alias("shown"))
+    per = per.join(shown, ["site_id", "id"], "left")
     ratio = F.when(F.col("bad") == 0, "pass").when((F.col("total") - F.col("bad")) / F.col("total") >= CONFORM, "warn").otherwise("fail")
     worst = F.when(F.col("worst") == 0, "pass").when(F.col("worst") == 1, "warn").otherwise("fail")
     status = (
@@ -38,7 +41,7 @@ def rolled(findings: DataFrame) -> DataFrame:
         .when(F.col("rollup") == "any", F.when(F.col("bad") > 0, "fail").otherwise("pass"))
         .otherwise(worst)
     )
-    detail = F.when(F.col("bad") > 0, F.concat(F.col("first.label"), F.when(F.col("bad") > 1, F.concat(F.lit(" (+"), (F.col("bad") - 1).cast("string"), F.lit(" more)"))).otherwise("")))
+    detail = F.when(F.col("bad") > 0, first_and_rest(F.col("shown.label"), F.col("bad")))
     return per.select("site_id", "id", status.alias("status"), detail.alias("detail"))
 
 

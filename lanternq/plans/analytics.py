@@ -193,7 +193,7 @@ def stats_daily(spark: SparkSession, folder: str) -> DataFrame:
 
 def history_cap(spark: SparkSession, folder: str) -> DataFrame:
     e = _events(spark, folder).select(c("domain").alias("url"), c("ts").alias("date"), "score", "event_id")
-    return capped_history(e, 50).select("url", "event_id")
+    return capped_history(e).select("url", "event_id")
 
 
 def rate_limit(spark: SparkSession, folder: str) -> DataFrame:
@@ -269,7 +269,7 @@ def _sql() -> dict[str, str]:
         "stats_domain_history": f"WITH {e} SELECT event_id, domain, round(score - lag(score) OVER (PARTITION BY domain ORDER BY ts, event_id), 6) AS delta FROM e",
         "stats_grades": f"WITH {e} SELECT {grade} AS grade, count(*) AS n FROM e GROUP BY 1",
         "stats_daily": f"WITH {e} SELECT strftime(ts, '%Y-%m-%d') AS day, kind, count(*) AS n, count(DISTINCT visitor) AS visitors FROM e GROUP BY 1, 2",
-        "history_cap": f"WITH {e} SELECT domain AS url, event_id FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY ts DESC) AS k FROM e WHERE score IS NOT NULL) WHERE k <= 50",
+        "history_cap": f"WITH {e} SELECT domain AS url, event_id FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY ts DESC) AS k FROM e WHERE score IS NOT NULL) WHERE k <= {HISTORY}",
         "rate_window": f"WITH {e} SELECT event_id, count(*) OVER (PARTITION BY visitor ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS n FROM e",
         "event_sessions": f"WITH {e}, s AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER q <= 1800000000 THEN 0 ELSE 1 END AS new FROM e WINDOW q AS (PARTITION BY visitor ORDER BY ts, event_id)), t AS (SELECT *, (sum(new) OVER (PARTITION BY visitor ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))::BIGINT AS session FROM s) SELECT visitor, session, count(*) AS n, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us FROM t GROUP BY 1, 2",
         "report_diff": f"WITH {e}, a AS ({half('false')}), b AS ({half('true')}), x AS (SELECT site_id, id, a.status AS before, b.status AS after FROM (SELECT * FROM a WHERE status <> 'skip') a FULL JOIN (SELECT * FROM b WHERE status <> 'skip') b USING (site_id, id)) SELECT *, CASE WHEN before IS NULL THEN 'added' WHEN after IS NULL THEN 'removed' WHEN {rank.format('after')} > {rank.format('before')} THEN 'regression' ELSE 'improvement' END AS change FROM x WHERE before IS DISTINCT FROM after",

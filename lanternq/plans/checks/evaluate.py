@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ...functions import text as T
+from ...functions import urls
 from ...operators import chunker, rollup
 from ...shared import parked
 from . import joins, rules
@@ -66,7 +67,12 @@ def findings(s: Sites) -> DataFrame:
     windows = s.pages.where("main_words >= 300").select("site_id", "seq", "path", "blocks")
     kept = chunker.chunks(windows).groupBy("site_id", "seq", "path").agg(F.avg(F.col("survives").cast("int")).alias("share"))
     retrieval = joins.finding(kept, "chunk-retrieval-sim", "warn", F.when(F.col("share") < 0.7, 1).otherwise(0))
-    out = [page, home, graph, total, retrieval]
+    own = s.pages.select("site_id", "seq", F.lit(-1).alias("pos"), "url")
+    linked = joins.links_of(s).where("internal").select("site_id", "seq", "pos", "url")
+    each = own.unionAll(linked).groupBy("site_id", "url").agg(F.min(F.struct("seq", "pos")).alias("at")).withColumn("issues", urls.url_issues(F.col("url")))
+    spoken = F.when(F.size("issues") > 0, F.concat(urls.path(F.col("url")), F.lit(" ("), F.col("issues")[0], F.lit(")"))).otherwise(urls.path(F.col("url")))
+    structure = joins.finding(each.select("site_id", F.col("at.seq").alias("seq"), spoken.alias("path"), "issues"), "url-structure", "agg", F.when(F.size("issues") > 0, 2).otherwise(0))
+    out = [page, home, graph, total, retrieval, structure]
     if s.resources is not None:
         r = s.resources
         file = lambda cond: F.max(F.when(cond, F.struct(F.col("status"), F.lower("content_type").alias("type"), F.col("body"), F.regexp_extract("final_url", r"^https?://[^/?#]*([^?#]*)", 1).alias("final_path"))))
@@ -87,7 +93,7 @@ def audit(s: Sites, opt_in: tuple[str, ...] = (), unregistered: bool = False) ->
     Checks that run on request are left out unless named in ``opt_in``.
     """
     s = prepared(s)
-    statuses = parked(rollup.rolled(findings(s)), "statuses")
+    statuses = parked(rollup.rolled(parked(findings(s), "findings")), "statuses")
     which = F.col("registered") | F.lit(unregistered)
     checks = catalog(s.pages.sparkSession).where(which & (~F.col("opt_in") | F.col("id").isin(*opt_in) if opt_in else which & ~F.col("opt_in"))).drop("registered", "opt_in")
     sites = s.pages.groupBy("site_id").agg(F.count("*").alias("n_pages"))

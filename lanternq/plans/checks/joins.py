@@ -53,10 +53,10 @@ def link_checks(s: X.Sites) -> list[DataFrame]:
         cached = fetched(first_n(assets.where("kind IN ('js', 'css')"), "asset", ["seq", "asset"], 1), "asset", res)
         out.append(finding(cached, "asset-caching", "sev", when(r"got_headers['cache-control'] RLIKE '(?i)max-age=[1-9]' OR got_headers['etag'] IS NOT NULL", 0, 1), "asset"))
         canon = s.pages.select("site_id", "seq", F.explode("canonicals").alias("target"))
-        got = fetched(first_n(canon, "target", ["seq"], 10), "target", res)
+        got = fetched(first_n(canon, "target", ["seq", "target"], 10), "target", res)
         out.append(finding(got, "canonical-resolves", "sev", when(r"got IS NULL OR got <> 200 OR body RLIKE '(?i)<meta[^>]+robots[^>]+noindex'", 2, U.canonical_identity(c("final_url")) != U.canonical_identity(c("target")), 1, 0), "target"))
         alternates = s.pages.select("site_id", "seq", c("url").alias("src"), F.explode("alternates").alias("a")).select("site_id", "seq", "src", c("a.url").alias("target"))
-        got = fetched(first_n(alternates.where("target IS NOT NULL"), "target", ["seq"], 5), "target", res)
+        got = fetched(first_n(alternates.where("target IS NOT NULL"), "target", ["seq", "target"], 5), "target", res)
         own = s.pages.select("site_id", c("url").alias("target"), F.explode("alternates").alias("b")).select("site_id", "target", U.canonical_identity(c("b.url")).alias("back")).groupBy("site_id", "target").agg(F.collect_set("back").alias("backs"))
         paired = got.join(own, ["site_id", "target"], "left")
         out.append(finding(paired, "hreflang", "any", when(sql("got = 200") & F.coalesce(F.array_contains("backs", U.canonical_identity(c("src"))), F.lit(False)), 0, 2), "target"))

@@ -127,7 +127,6 @@ def page_rules(as_of: str) -> dict[str, tuple[str, Column]]:
         # technical-seo
         "canonical": ("agg", when("size(canonicals) = 0", 2, "size(canonicals) > 1", 2, F.coalesce(U.host(sql("try_element_at(canonicals, 1)")) != c("host"), F.lit(True)), 2, (U.scheme(sql("try_element_at(canonicals, 1)")) != "https") & ~local(), 2, U.canonical_identity(sql("try_element_at(canonicals, 1)")) != U.canonical_identity(c("url")), 2, 0)),
         "soft-error-pages": ("sev", when(label & (c("main_words") <= 400), 2, "NOT is_home AND main_words < 15 AND size(filter(images, i -> i.in_main)) < 2", 1, 0)),
-        "url-structure": ("agg", when(F.size(U.url_issues(c("url"))) > 0, 2, 0)),
         "pagination-canonical": ("any", when(F.coalesce(U.page_number(c("url")), F.lit(1)) <= 1, F.lit(None), "size(canonicals) = 0", 0, F.exists("canonicals", lambda x: U.canonical_identity(x) == U.canonical_identity(c("url"))), 0, 2)),
         "meta-refresh": ("any", when(r"refresh RLIKE '(?i)url\\s*='", 2, 0)),
         "hreflang-x-default": ("sev", when("size(alternates) = 0", F.lit(None), F.exists("alternates", lambda a: (a["lang"] != "x-default") & ~T.is_bcp47(a["lang"])), 2, r"NOT exists(alternates, a -> a.lang = 'x-default') OR exists(alternates, a -> a.href NOT RLIKE '^https?://')", 1, ~F.exists("alternates", lambda a: U.canonical_identity(a["url"]) == U.canonical_identity(c("url"))), 1, 0)),
@@ -264,7 +263,7 @@ def site_rules(as_of: str) -> dict[str, Column]:
         "agent-standards-signals": when(manifest, 0, F.lit(None)),
         "robots-exists": when(f"{got('robots')} AND {plain('robots')}", 0, 1),
         "robots-wellformed": when(f"NOT {got('robots')}", F.lit(None), f"NOT {plain('robots')} OR octet_length(robots.body) > 512000", 2, f"trim(robots.body) <> '' AND size({lines}) = 0", 2, f"{unknown} OR ({rules} > 0 AND ({agents} = 0 OR {rules} < {agents}))", 1, 0),
-        "llms-txt": when(f"NOT {got('llms')}", 1, rf"llms.body RLIKE '(?m)^#\\s+\\S' AND exists(split(llms.body, '\\n'), x -> length(trim(x)) >= 10 AND x NOT LIKE '#%') AND llms.body RLIKE '(?m)^##\\s+\\S' AND regexp_count(llms.body, '\\[[^\\]]{{3,}}\\]\\([^)]+\\)') >= 5", 0, 1),
+        "llms-txt": when(f"NOT {got('llms')}", 1, rf"llms.body RLIKE '(?m)^#\\s+\\S' AND exists(split(llms.body, '\\n'), x -> length(trim(x)) >= 10 AND x NOT LIKE '#%') AND llms.body RLIKE '(?m)^##\\s+\\S' AND size(filter(regexp_extract_all(llms.body, '\\[[^\\]]{{3,}}\\]\\(([^)\\s]+)[^)]*\\)', 1), x -> x NOT RLIKE '^[a-zA-Z][a-zA-Z0-9+.-]*:' AND x NOT LIKE '//%' OR lower(regexp_extract(x, '^(?:https?:)?//([^/?#]+)', 1)) = site_id)) >= 5", 0, 1),
         "llms-full-txt": when(rf"{got('llms_full')} AND regexp_count(llms_full.body, '\\S+') >= 2000 AND regexp_count(llms_full.body, '(?m)^#{{1,6}}\\s+\\S') >= 2", 0, 1),
         "well-known-ai-json": when(f"{got('ai_json')} AND coalesce(schema_of_variant(try_parse_json(ai_json.body)) LIKE 'OBJECT%', false)", 0, 1),
         "security-txt": when(f"NOT {got('security_txt')}", 1, r"security_txt.body RLIKE '(?im)^contact:\\s*\\S'", F.when(expires > F.to_timestamp(F.lit(as_of)), 0).otherwise(1), 1),

@@ -48,7 +48,7 @@ def injection_hits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def error_labels(spark: SparkSession, folder: str) -> DataFrame:
-    lines = _docs(spark, folder).select("doc_id", F.substring(F.split("text", "\n")[0], 1, 48).alias("label"))
+    lines = _docs(spark, folder).select("doc_id", F.split("text", "\n")[0].alias("label"))
     return lines.select("doc_id", T.normalize_label(c("label")).alias("label"), T.is_error_label(c("label")).alias("error"))
 
 
@@ -95,7 +95,7 @@ ORACLE_SQL = {
     "answer_units": f"WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents), s AS (SELECT *, {_STREAM.format('line')} AS s FROM l) SELECT doc_id, count(*) AS lines, count_if(len({_W.format('line')}) BETWEEN 8 AND 40 AND {_FACT.format('line')} AND {_UPPER.format('line')} AND {_CLEAN.format('line')} AND {_HEDGES} = 0) AS units FROM s GROUP BY 1",
     "question_headings": rf"SELECT conv_id, turn, coalesce(trim(text, ' ') LIKE '%?' OR regexp_matches(trim(text, ' '), '(?i)^(?:{T.QUESTION_OPENERS.replace(chr(39), chr(39) * 2)})(?:[^\p{{L}}\p{{N}}]|$)'), false) AS question FROM conversations",
     "injection_hits": rf"SELECT role, count(*) AS turns, count_if(regexp_matches(lower(text), '(?i){T.INSTRUCTIONS}')) AS hits FROM conversations GROUP BY 1",
-    "error_labels": f"WITH d AS (SELECT doc_id, substring(string_split(coalesce(text, ''), chr(10))[1], 1, 48) AS label FROM documents), n AS (SELECT doc_id, {_LABEL} AS label FROM d) SELECT doc_id, label, label <> '' AND (list_contains([{_quoted(T.ERROR_LABELS)}], label) OR regexp_matches(label, '{'|'.join(T.ERROR_PHRASES)}') OR regexp_matches(label, '{T.ERROR_CODES}')) AS error FROM n",
+    "error_labels": f"WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10))[1] AS label FROM documents), n AS (SELECT doc_id, {_LABEL} AS label FROM d) SELECT doc_id, label, label <> '' AND (list_contains([{_quoted(T.ERROR_LABELS)}], label) OR regexp_matches(label, '{'|'.join(T.ERROR_PHRASES)}') OR regexp_matches(label, '{T.ERROR_CODES}')) AS error FROM n",
     "markdown_links": r"""WITH m AS (SELECT page_id, regexp_replace(html, '(?is)<a\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>', '[\2](\1)', 'g') AS t FROM pages), x AS (SELECT page_id, regexp_extract_all(t, '\[([^\]]*)\]\(([^)\s]+)[^)]*\)', 1) AS a, regexp_extract_all(t, '\[([^\]]*)\]\(([^)\s]+)[^)]*\)', 2) AS b FROM m)
         SELECT page_id, i - 1 AS pos, a[i] AS text, b[i] AS url FROM (SELECT *, unnest(range(1, len(a) + 1)) AS i FROM x)""",
 }

@@ -30,9 +30,63 @@ def _pages(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages").withColumn("site_id", U.host(c("url"))).withColumn("path", U.path(c("url"))).withColumn("title", squeezed(F.regexp_extract("html", TITLE, 1)))
 
 
+#: Bounds of a title or heading, a description and an excerpt, in characters; a shorter excerpt than the last is none.
+MOST_TITLE, MOST_DESCRIPTION, MOST_EXCERPT, LEAST_EXCERPT = 200, 300, 2000, 80
+#: Entities that occur in titles and descriptions, in the order in which they are replaced.
+ENTITIES = (("&nbsp;", " "), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
+_DROPPED = ("(?is)" + "|".join(rf"<{t}\b.*?</{t}>" for t in ("script", "style", "noscript", "template", "svg")), "(?is)" + "|".join(rf"<{t}\b.*?</{t}>" for t in ("nav", "header", "footer", "aside")), "(?s)<!--.*?-->")
+
+
+def decoded(text: Column) -> Column:
+    """Numeric entities (decimal, then hexadecimal) and those of ENTITIES as characters."""
+    for mark, base in (("&#", 10), ("&#x", 16)):
+        digits = "[0-9]" if base == 10 else "[0-9a-fA-F]"
+        point = lambda x: F.conv(x, base, 10).cast("bigint")  # noqa: E731, B023
+        char = lambda x: F.when(point(x).between(1, 0xD7FF) | point(x).between(0xE000, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(point(x)), 8, "0")), "UTF-32")).otherwise("")  # noqa: E731, B023
+        found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?i){mark}({digits}{{1,8}});"), F.lit(1)))
+        text = F.when(F.contains(text, F.lit("&#")), F.aggregate(found, text, lambda acc, x: F.replace(acc, F.concat(F.lit(mark), x, F.lit(";")), char(x)))).otherwise(text)  # noqa: B023
+    for name, char in ENTITIES:
+        text = F.regexp_replace(text, f"(?i){name}", char)
+    return text
+
+
+def plain(html: Column) -> Column:
+    """Text without tags, entities decoded, white space as single spaces."""
+    return squeezed(decoded(F.regexp_replace(html, "<[^>]*>", " ")))
+
+
+def excerpt_of(html: Column) -> Column:
+    """Visible text of main, else article, else body, without chrome: up to MOST_EXCERPT characters, cut at the last space if that lies in the second half; null below LEAST_EXCERPT."""
+    body = F.regexp_extract(html, r"(?is)<body\b[^>]*>(.*?)</body>", 1)
+    body = F.when(body != "", body).otherwise(html)
+    both = r"(?is)<main\b[^>]*>(.*?)</main>|<article\b[^>]*>(.*?)</article>"
+    scope = F.when(body.rlike(both), F.concat(F.regexp_extract(body, both, 1), F.regexp_extract(body, both, 2))).otherwise(body)
+    for pattern in _DROPPED:
+        scope = F.regexp_replace(scope, pattern, " ")
+    return F.transform(F.array(plain(scope)), _cut)[0]
+
+
+def _cut(text: Column) -> Column:
+    head = F.substring(text, 1, MOST_EXCERPT)
+    space = F.length(head) - F.length(F.substring_index(head, " ", -1)) - 1
+    short = F.when(space > MOST_EXCERPT // 2, F.substring(head, F.lit(1), space)).otherwise(head)
+    return F.when(F.length(text) >= LEAST_EXCERPT, F.when(F.length(text) <= MOST_EXCERPT, text).otherwise(F.rtrim(short)))
+
+
 def page_meta(spark: SparkSession, folder: str) -> DataFrame:
-    excerpt = F.substring(squeezed(F.regexp_replace(F.regexp_extract("html", r"(?is)<p[^>]*>(.*?)</p>", 1), "<[^>]*>", " ")), 1, 300)
-    return _pages(spark, folder).select("page_id", "path", F.substring("title", 1, 200).alias("title"), F.substring(squeezed(F.regexp_replace(F.regexp_extract("html", H1, 1), "<[^>]*>", " ")), 1, 200).alias("h1"), excerpt.alias("excerpt"))
+    """Title, description, first heading and excerpt of each page; null where there is none."""
+    cell = lambda x, most: F.nullif(F.trim(F.substring(plain(x), 1, most)), F.lit(""))
+    tag = F.coalesce(F.get(F.filter(F.regexp_extract_all("html", F.lit(r"(?i)(<meta\b[^>]*>)"), F.lit(1)), lambda x: x.rlike(r"(?i)name\s*=\s*[\"']?description[\"']?") & x.rlike(r"(?i)content\s*=\s*[^\s>]")), F.lit(0)), F.lit(""))
+    value = r"(?i)content\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))"
+    content = F.concat(*[F.regexp_extract(tag, value, i) for i in (1, 2, 3)])
+    return _pages(spark, folder).select(
+        "page_id",
+        "path",
+        cell(F.regexp_extract("html", TITLE, 1), MOST_TITLE).alias("title"),
+        cell(content, MOST_DESCRIPTION).alias("description"),
+        cell(F.regexp_extract("html", H1, 1), MOST_TITLE).alias("h1"),
+        excerpt_of(c("html")).alias("excerpt"),
+    )
 
 
 def url_parts(spark: SparkSession, folder: str) -> DataFrame:
@@ -153,12 +207,12 @@ def link_components(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pagerank(spark: SparkSession, folder: str) -> DataFrame:
-    """Ten rounds over the paths of each site, rounded; dangling mass is spread evenly."""
+    """Rank of the paths of each site after all rounds, rounded; dangling mass is spread evenly."""
     from ..operators import graph
     from ..shared import parked
 
     nodes = _pages(spark, folder).select("site_id", c("path").alias("url")).distinct()
-    return graph.pagerank(nodes, parked(site_edges(spark, folder), "edges"), iterations=10).withColumn("rank", F.round("rank", 6))
+    return graph.pagerank(nodes, parked(site_edges(spark, folder), "edges"), cut_every=10).withColumn("rank", F.round("rank", 6))
 
 
 def static_text(spark: SparkSession, folder: str) -> DataFrame:
@@ -306,9 +360,39 @@ def _rank(rounds: int) -> str:
 
 
 _WORDS = "regexp_extract_all(lower({}), '[a-z0-9]+')"
+
+
+def _plain_sql(html: str) -> str:
+    """As ``plain``, but for numeric entities, which the test tables do not have."""
+    out = f"regexp_replace({html}, '<[^>]*>', ' ', 'g')"
+    for name, char in ENTITIES:
+        out = f"regexp_replace({out}, '(?i){name}', '{char.replace(chr(39), 2 * chr(39))}', 'g')"
+    return f"trim(regexp_replace({out}, '[\\x20\\x09-\\x0D]+', ' ', 'g'))"
+
+
+def _dropped_sql(html: str) -> str:
+    for pattern in _DROPPED:
+        html = f"regexp_replace({html}, '{pattern}', ' ', 'g')"
+    return html
+
+
+_META_SQL = rf"""
+    WITH {_P},
+    b AS (SELECT *, coalesce(nullif(regexp_extract(html, '(?is)<body\b[^>]*>(.*?)</body>', 1), ''), html) AS body,
+                 list_filter(regexp_extract_all(html, '(?i)<meta\b[^>]*>'), lambda x: regexp_matches(x, '(?i)name\s*=\s*["'']?description["'']?') AND regexp_matches(x, '(?i)content\s*=\s*[^\s>]'))[1] AS tag FROM p),
+    s AS (SELECT *, CASE WHEN regexp_matches(body, '(?is)<main\b[^>]*>(.*?)</main>|<article\b[^>]*>(.*?)</article>')
+                         THEN regexp_extract(body, '(?is)<main\b[^>]*>(.*?)</main>|<article\b[^>]*>(.*?)</article>', 1) || regexp_extract(body, '(?is)<main\b[^>]*>(.*?)</main>|<article\b[^>]*>(.*?)</article>', 2) ELSE body END AS scope FROM b),
+    t AS (SELECT *, {_plain_sql(_dropped_sql("scope"))} AS visible FROM s),
+    h AS (SELECT *, substring(visible, 1, {MOST_EXCERPT}) AS head FROM t),
+    l AS (SELECT *, length(head) - length(string_split(head, ' ')[-1]) - 1 AS space FROM h)
+    SELECT page_id, path, nullif(trim(substring({_plain_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, 1, {MOST_TITLE})), '') AS title,
+           nullif(trim(substring({_plain_sql("regexp_extract(coalesce(tag, ''), '(?i)content" + chr(92) + "s*=" + chr(92) + "s*(?:" + chr(34) + "([^" + chr(34) + "]*)" + chr(34) + ")', 1)")}, 1, {MOST_DESCRIPTION})), '') AS description,
+           nullif(trim(substring({_plain_sql("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")}, 1, {MOST_TITLE})), '') AS h1,
+           CASE WHEN length(visible) >= {LEAST_EXCERPT} THEN CASE WHEN length(visible) <= {MOST_EXCERPT} THEN visible WHEN space > {MOST_EXCERPT // 2} THEN rtrim(substring(head, 1, space)) ELSE rtrim(head) END END AS excerpt
+    FROM l
+"""
 ORACLE_SQL = {
-    "page_meta": rf"""WITH {_P} SELECT page_id, path, substring(title, 1, 200) AS title, substring(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')), 1, 200) AS h1,
-        substring(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<p[^>]*>(.*?)</p>', 1), '<[^>]*>', ' ', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')), 1, 300) AS excerpt FROM p""",
+    "page_meta": _META_SQL,
     "url_parts": rf"""WITH {_P} SELECT page_id, regexp_extract(url, '^(https?)://', 1) AS scheme, site_id AS host, path, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS query, {_DEPTH} AS depth FROM p""",
     "canonical_identity": rf"""WITH {_P}, q AS (SELECT page_id, regexp_extract(url, '^(https?)://', 1) AS scheme, site_id, CASE WHEN length(path) > 1 AND path LIKE '%/' THEN path[:-2] ELSE path END AS path,
             array_to_string(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '(?i)^(utm_|gclid($|=)|fbclid($|=)|mc_|_ga($|=)|ref($|=)|source($|=)|yclid($|=)|msclkid($|=))')), '&') AS kept FROM p)
@@ -334,7 +418,7 @@ ORACLE_SQL = {
     "link_components": f"""WITH RECURSIVE {_A}, g AS (SELECT site_id || ' ' || src AS s, site_id || ' ' || dst AS t FROM e), u AS MATERIALIZED (SELECT s, t FROM g UNION SELECT t, s FROM g),
         r(node, low) AS (SELECT DISTINCT s, s FROM u UNION SELECT u.t, r.low FROM r JOIN u ON u.s = r.node WHERE r.low < u.t)
         SELECT root, count(*) AS n FROM (SELECT node, min(low) AS root FROM r GROUP BY 1) GROUP BY 1""",
-    "pagerank": _rank(10),
+    "pagerank": _rank(50),
     "static_text": rf"""SELECT page_id, length(t) AS chars, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS words, length(t) < 200 AS thin, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) < 150 AS shallow FROM (SELECT page_id, {_STRIP} AS t FROM pages)""",
     "shingle_twins": f"""WITH {_P}, w AS (SELECT site_id, page_id, {_WORDS.format(_STRIP)} AS w FROM p), s AS (SELECT site_id, page_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS x FROM w),
         n AS (SELECT page_id, count(*) AS n FROM s GROUP BY 1), b AS (SELECT a.page_id AS a, b.page_id AS b, count(*) AS shared FROM s a JOIN s b ON a.site_id = b.site_id AND a.x = b.x AND a.page_id < b.page_id GROUP BY 1, 2)

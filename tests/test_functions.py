@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lanternq.plans import pages as P
 from lanternq.functions import text as T
 from lanternq.functions import urls as U
 
@@ -79,3 +80,16 @@ def test_blocked_addresses(value):
 def test_dates(value):
     for text, want in (("2024-01-02", "2024-01-02 00:00:00"), ("Tue, 02 Jan 2024 03:04:05 GMT", "2024-01-02 03:04:05"), ("soon", "None")):
         assert str(value(T.parse_date, text)) == want
+
+
+def test_page_excerpts_and_entities(spark):
+    long = "word " * 600
+    rows = [
+        (1, f"<body><nav>menu</nav><main><p>{long}</p></main></body>"),
+        (2, "<body><article>too short</article></body>"),
+        (3, f"<header>top</header><!-- no --><p>{'a&amp;b &#233; &#x41; ' * 12}</p><script>x</script>"),
+        (4, None),
+        (5, f"<body><article>{'y' * 2500}</article><main>{long}</main></body>"),
+    ]
+    got = {r["i"]: r["x"] for r in spark.createDataFrame(rows, "i int, html string").select("i", P.excerpt_of(F.col("html")).alias("x")).collect()}
+    assert got == {1: ("word " * 400).strip(), 2: None, 3: ("a&b é A " * 12).strip(), 4: None, 5: "y" * 2000}

@@ -39,7 +39,7 @@ def test_ratio_rollup(spark, total, bad, want):
     rows = [("s", "c", "agg", i, f"/{i}", 2 if i < bad else 0) for i in range(total)]
     got = rollup.rolled(spark.createDataFrame(rows, "site_id string, id string, rollup string, seq int, label string, severity int")).first()
     assert got["status"] == want
-    assert got["detail"] == (None if not bad else "/0" + (f" (+{bad - 1} more)" if bad > 1 else ""))
+    assert got["detail"] == (None if not bad else ", ".join(f"/{i}" for i in range(min(bad, 3))) + (f" (+{bad - 3} more)" if bad > 3 else ""))
 
 
 def test_points_and_grades(spark):
