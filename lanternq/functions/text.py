@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,17 @@ STOPWORDS_EN = (
     "as your you we our us i my me their they them all about into over up out no not so if than then here there when"
 ).split()
 # French function words, without accents.
+#: Words without a topic in link texts, English, then French.
+STOPWORDS_ANCHOR = (
+    "a an the and or but of in on at to for with by from is are was were be been it its this that these those as "
+    "your you we our us my me their they them all about into over up out no not so if than then here there when more "
+    "page home homepage back learn read see view go click link new "
+    "le la les un une des du de au aux et ou mais donc dans sur pour avec par chez sans sous est sont etre ete "
+    "ce cet cette ces celui celle nos notre nous vos votre vous leur leurs plus moins tout tous toute toutes ici accueil "
+    "retour voir lire savoir suite propos lien aller cliquez en ne si que qui quoi il ils elle elles on se sa son "
+    "ses mon ma mes ton ta tes ete etait cela ceci nouveau"
+).split()
+
 STOPWORDS_FR = (
     "de du des le la les un une et ou en au aux dans sur sous pour par avec sans chez vers entre "
     "ce cet cette ces cela ceci qui que quoi dont est sont etre ete ont ainsi alors donc apres avant "
@@ -57,7 +70,9 @@ ERROR_CODES = (
     r"|\b[45][0-9][0-9] (?:not found|forbidden|unauthorized|bad request|gone|not acceptable|request timeout|too many requests|bad gateway|gateway timeout|non trouve|non trouvee|introuvable|interdit|non autorise)\b"
 )
 # Letters with marks, and the letters below them.
-_MARKED, _PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+#: Letters that canonical decomposition splits into an ASCII letter and marks, and these letters.
+_SPLIT = {x: unicodedata.normalize("NFD", x)[0] for x in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if len(unicodedata.normalize("NFD", x)) > 1 and unicodedata.normalize("NFD", x)[0].isascii()}
+_MARKED, _PLAIN = "".join(_SPLIT), "".join(_SPLIT.values())
 
 
 def collapse(text: Column) -> Column:
@@ -83,6 +98,11 @@ def topic_tokens(text: Column) -> Column:
     return tokenize(fold_diacritics(text), [*STOPWORDS_EN, *STOPWORDS_FR])
 
 
+def anchor_tokens(text: Column) -> Column:
+    """Topic words of a link's text: more words count as empty than in a title."""
+    return tokenize(fold_diacritics(F.lower(text)), STOPWORDS_ANCHOR)
+
+
 def shingles(text: Column, k: int = 5) -> Column:
     """Distinct runs of k words; all words if there are fewer."""
 

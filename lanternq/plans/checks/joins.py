@@ -177,8 +177,13 @@ def anchor_checks(s: X.Sites) -> list[DataFrame]:
     counts = links.groupBy("site_id", "to", F.lower("text").alias("anchor")).agg(F.count("*").alias("n"), F.min(F.struct("seq", "pos")).alias("first"), F.count_if(c("in_main")).alias("main"))
     best = Window.partitionBy("site_id", "to").orderBy(F.desc("n"), "first")
     top = counts.withColumn("k", F.row_number().over(best)).withColumn("kinds", F.count("*").over(Window.partitionBy("site_id", "to"))).where("k = 1")
-    own = s.pages.select("site_id", "seq", "path", U.canonical_identity(c("url")).alias("to"), T.topic_tokens(F.concat_ws(" ", "title", sql("try_element_at(h1s, 1)"))).alias("words"), "brand")
-    wide = top.join(own, ["site_id", "to"]).withColumn("said", F.array_except(T.topic_tokens(c("anchor")), F.coalesce("brand", F.array().cast("array<string>")))).where("size(said) > 0")
+    own = s.pages.select("site_id", "seq", "path", U.canonical_identity(c("url")).alias("to"), T.anchor_tokens(F.concat_ws(" ", "title", sql("try_element_at(h1s, 1)"))).alias("words"))
+    parts = T.title_segments(c("title"))
+    tail = F.when(F.size(parts) >= 2, F.element_at(parts, -1)).otherwise("")
+    named = F.concat_ws(" ", F.substring_index("host", ".", 1), c("metas")["og:site_name"], tail)
+    brands = s.pages.where("is_home").select("site_id", T.anchor_tokens(named).alias("brand"))
+    less = lambda x: F.array_except(x, F.coalesce("brand", F.array().cast("array<string>")))
+    wide = top.join(own, ["site_id", "to"]).join(brands, "site_id", "left").withColumn("said", less(T.anchor_tokens(c("anchor")))).withColumn("words", less(c("words"))).where("size(said) > 0")
     wide = wide.withColumn("graded", F.count("*").over(Window.partitionBy("site_id"))).where("graded >= 2")
     return [finding(wide, "anchor-target-profile", "warn", when("NOT arrays_overlap(said, words)", 1, "kinds = 1 AND main >= 3", 1, 0))]
 

@@ -93,3 +93,8 @@ def test_page_excerpts_and_entities(spark):
     ]
     got = {r["i"]: r["x"] for r in spark.createDataFrame(rows, "i int, html string").select("i", P.excerpt_of(F.col("html")).alias("x")).collect()}
     assert got == {1: ("word " * 400).strip(), 2: None, 3: ("a&b é A " * 12).strip(), 4: None, 5: "y" * 2000}
+
+
+def test_folding_and_anchor_words(value):
+    assert value(T.fold_diacritics, "Łódź Žluťoučký İstanbul Ünal Nguyễn") == "Łodz Zlutoucky Istanbul Unal Nguyen"
+    assert value(T.anchor_tokens, "Voir plus de Présentation, learn more about bread") == ["presentation", "bread"]
