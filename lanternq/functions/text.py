@@ -12,8 +12,7 @@ STOPWORDS_EN = (
     "a an the and or but of in on at to for with by from is are was were be been being it its this that these those "
     "as your you we our us i my me their they them all about into over up out no not so if than then here there when"
 ).split()
-# French function words, without accents.
-#: Words without a topic in link texts, English, then French.
+# Words without a topic in link texts, English, then French.
 STOPWORDS_ANCHOR = (
     "a an the and or but of in on at to for with by from is are was were be been it its this that these those as "
     "your you we our us my me their they them all about into over up out no not so if than then here there when more "
@@ -23,7 +22,7 @@ STOPWORDS_ANCHOR = (
     "retour voir lire savoir suite propos lien aller cliquez en ne si que qui quoi il ils elle elles on se sa son "
     "ses mon ma mes ton ta tes ete etait cela ceci nouveau"
 ).split()
-
+# French function words, without accents.
 STOPWORDS_FR = (
     "de du des le la les un une et ou en au aux dans sur sous pour par avec sans chez vers entre "
     "ce cet cette ces cela ceci qui que quoi dont est sont etre ete ont ainsi alors donc apres avant "
