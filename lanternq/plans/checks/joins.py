@@ -14,6 +14,7 @@ from ...functions import text as T
 from ...functions import urls as U
 from ...operators import graph, robots
 from ...operators.components import connected_components
+from ...operators.similar import similar_sets
 from ...shared import parked
 from . import tables as X
 from .rules import directives, sql, when
@@ -151,24 +152,22 @@ def page_pair_checks(s: X.Sites) -> list[DataFrame]:
     """Near-duplicate and competing pages of one site, from shared shingles and shared title words; only pages that share one meet."""
     pages = s.pages.select("site_id", "seq", "path", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("title", F.lit("")).alias("title"), T.shingles(c("main_text")).alias("sh"), F.array_distinct(T.topic_tokens(F.concat_ws(" ", "title", sql("try_element_at(h1s, 1)")))).alias("tk"), "brand")
     pages = parked(pages.withColumn("tk", F.array_except("tk", F.coalesce("brand", F.array().cast("array<string>")))), "topics")
-    body = shared_pairs(pages, "sh")
+    body = shared_pairs(pages, "sh", 0.8)
     near = body.where("jaccard >= 0.8")
     n = near.groupBy("site_id").agg(F.count("*").alias("pairs"), F.min("path_a").alias("path"))
     sites = pages.groupBy("site_id").agg(F.count("*").alias("pages")).join(n, "site_id", "left")
     unique = finding(sites.withColumn("label", F.coalesce("path", F.lit("/"))), "content-uniqueness", "sev", when("pages < 2", F.lit(None), "pairs >= 2", 2, "pairs = 1", 1, 0), "label", None)
-    twins = shared_pairs(pages.where("size(tk) >= 3"), "tk").where("jaccard >= 0.6 AND title_a <> title_b AND lang_a = lang_b")
+    twins = shared_pairs(pages.where("size(tk) >= 3"), "tk", 0.6).where("jaccard >= 0.6 AND title_a <> title_b AND lang_a = lang_b")
     twins = twins.join(body.select("site_id", "seq_a", "seq_b", c("jaccard").alias("same")), ["site_id", "seq_a", "seq_b"], "left").where("coalesce(same, 0) < 0.8")
     hit = twins.select("site_id", c("seq_a").alias("seq"), c("path_a").alias("path"), F.lit(1).alias("v")).unionAll(pages.select("site_id", "seq", "path", F.lit(0)))
     return [unique, finding(hit, "keyword-cannibalization", "warn", c("v"))]
 
 
-def shared_pairs(pages: DataFrame, values: str) -> DataFrame:
-    """(site_id, seq_a, seq_b, ..., jaccard) for pages of a site that share a value of the array column."""
-    item = pages.select("site_id", "seq", F.explode(values).alias("x"))
-    a, b = item.select("site_id", c("seq").alias("seq_a"), "x"), item.select("site_id", c("seq").alias("seq_b"), "x")
-    met = a.join(b, ["site_id", "x"]).where("seq_a < seq_b").groupBy("site_id", "seq_a", "seq_b").agg(F.count("*").alias("both"))
-    side = lambda k: pages.select("site_id", c("seq").alias(f"seq_{k}"), c("path").alias(f"path_{k}"), c("title").alias(f"title_{k}"), c("lang").alias(f"lang_{k}"), F.size(values).alias(f"n_{k}"))
-    return met.join(side("a"), ["site_id", "seq_a"]).join(side("b"), ["site_id", "seq_b"]).withColumn("jaccard", c("both") / (c("n_a") + c("n_b") - c("both")))
+def shared_pairs(pages: DataFrame, values: str, threshold: float) -> DataFrame:
+    """(site_id, seq_a, seq_b, path_a, ..., jaccard) for pages of a site whose array columns are that similar."""
+    met = similar_sets(pages, "site_id", "seq", values, threshold).withColumnsRenamed({"a": "seq_a", "b": "seq_b"})
+    side = lambda k: pages.select("site_id", c("seq").alias(f"seq_{k}"), c("path").alias(f"path_{k}"), c("title").alias(f"title_{k}"), c("lang").alias(f"lang_{k}"))
+    return met.join(side("a"), ["site_id", "seq_a"]).join(side("b"), ["site_id", "seq_b"])
 
 
 def anchor_checks(s: X.Sites) -> list[DataFrame]:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import rollup
+from ..operators.similar import similar_sets
+from ..shared import parked
 from ..sources.tables import table
 
 c = F.col
@@ -183,7 +185,6 @@ def orphans(spark: SparkSession, folder: str) -> DataFrame:
 
 def bfs_depth(spark: SparkSession, folder: str) -> DataFrame:
     """Clicks from each site's shallowest path, over all paths, at most five; a recursive query."""
-    from ..shared import parked
 
     links = parked(site_edges(spark, folder), "edges")
     depth = F.struct(U.depth(c("path")).alias("d"), c("path"))
@@ -209,7 +210,6 @@ def link_components(spark: SparkSession, folder: str) -> DataFrame:
 def pagerank(spark: SparkSession, folder: str) -> DataFrame:
     """Rank of the paths of each site after all rounds, rounded; dangling mass is spread evenly."""
     from ..operators import graph
-    from ..shared import parked
 
     nodes = _pages(spark, folder).select("site_id", c("path").alias("url")).distinct()
     return graph.pagerank(nodes, parked(site_edges(spark, folder), "edges"), cut_every=10).withColumn("rank", F.round("rank", 6))
@@ -223,21 +223,17 @@ def static_text(spark: SparkSession, folder: str) -> DataFrame:
 
 def shingle_twins(spark: SparkSession, folder: str) -> DataFrame:
     """Pages of one site whose five-word shingles have a Jaccard similarity of at least 0.5."""
-    pages = _pages(spark, folder).select("site_id", "page_id", F.explode(T.shingles(stripped(c("html")))).alias("x"))
-    sizes = pages.groupBy("page_id").agg(F.count("*").alias("n"))
-    a, b = pages.withColumnRenamed("page_id", "a"), pages.withColumnRenamed("page_id", "b")
-    both = a.join(b, ["site_id", "x"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
-    return both.join(sizes.select(c("page_id").alias("a"), c("n").alias("na")), "a").join(sizes.select(c("page_id").alias("b"), c("n").alias("nb")), "b").select("a", "b", F.round(c("both") / (c("na") + c("nb") - c("both")), 6).alias("jaccard")).where("jaccard >= 0.5")
+    pages = parked(_pages(spark, folder).select("site_id", "page_id", T.shingles(stripped(c("html"))).alias("x")), "shingles")
+    return similar_sets(pages, "site_id", "page_id", "x", 0.5).select("a", "b", F.round("jaccard", 6).alias("jaccard")).where("jaccard >= 0.5")
 
 
 def title_twins(spark: SparkSession, folder: str) -> DataFrame:
     """Pages of one site whose titles share at least 60 % of their words, titles of three words or more."""
     pages = _pages(spark, folder).select("site_id", "page_id", "title", F.array_distinct(F.filter(T.words_of(c("title")), lambda w: F.length(w) > 1)).alias("w")).where("size(w) >= 3")
-    item = pages.select("site_id", "page_id", F.explode("w").alias("x"))
-    met = item.withColumnRenamed("page_id", "a").join(item.withColumnRenamed("page_id", "b"), ["site_id", "x"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
-    side = pages.select("page_id", "title", F.size("w").alias("n"))
-    wide = met.join(side.toDF("a", "ta", "na"), "a").join(side.toDF("b", "tb", "nb"), "b").where("ta <> tb")
-    return wide.select("a", "b", F.round(c("both") / (c("na") + c("nb") - c("both")), 6).alias("jaccard")).where("jaccard >= 0.6")
+    met = similar_sets(pages, "site_id", "page_id", "w", 0.6)
+    side = pages.select("page_id", "title")
+    wide = met.join(side.toDF("a", "ta"), "a").join(side.toDF("b", "tb"), "b").where("ta <> tb")
+    return wide.select("a", "b", F.round("jaccard", 6).alias("jaccard")).where("jaccard >= 0.6")
 
 
 #: A small audit that regular expressions can carry: check, family, points.

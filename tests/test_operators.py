@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lanternq.operators import chunker, graph, robots, rollup
 from lanternq.operators.components import connected_components
+from lanternq.operators.similar import similar_sets
 from lanternq.plans import analytics
 
 
@@ -160,3 +161,23 @@ def test_recommendations(spark):
     assert [(r["id"], r["impact"], r["effort"]) for r in recs.orderBy("rank").collect()] == [("csp", 3, "quick"), ("content-depth", 3, "moderate")]
     assert [r["id"] for r in analytics.top_fixes(recs, 1).collect()] == ["content-depth"]
     assert recs.where("id = 'content-depth'").select(analytics.offenders(F.col("detail"))).first()[0] == ["/a", "/b"]
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.6, 0.8])
+def test_similar_sets_equal_all_pairs(spark, threshold):
+    r = random.Random(threshold)
+    rows = []
+    for k in range(120):
+        base = set(r.sample(range(60), r.randrange(1, 14))) if k % 4 == 0 or k < 9 else set(rows[k - 2][2])
+        own = {x for x in base if r.random() < 0.98} | {1000, 1001}  # what all have in common
+        rows.append(("s" if k % 2 else "t", k, sorted(own)))
+    rows.append(("s", 999, []))
+    want = {}
+    for i, (g, a, x) in enumerate(rows):
+        for h, b, y in rows[i + 1 :]:
+            both = len(set(x) & set(y))
+            if g == h and both and both / len(set(x) | set(y)) >= threshold:
+                want[g, a, b] = both / len(set(x) | set(y))
+    df = spark.createDataFrame(rows, "site string, k long, v array<long>")
+    got = {(x["site"], x["a"], x["b"]): x["jaccard"] for x in similar_sets(df, "site", "k", "v", threshold).where(F.col("jaccard") >= threshold).collect()}
+    assert got == pytest.approx(want) and len(want) > 10
