@@ -269,6 +269,15 @@ def _sql() -> dict[str, str]:
         "stats_domain_history": f"WITH {e} SELECT event_id, domain, round(score - lag(score) OVER (PARTITION BY domain ORDER BY ts, event_id), 6) AS delta FROM e",
         "stats_grades": f"WITH {e} SELECT {grade} AS grade, count(*) AS n FROM e GROUP BY 1",
         "stats_daily": f"WITH {e} SELECT strftime(ts, '%Y-%m-%d') AS day, kind, count(*) AS n, count(DISTINCT visitor) AS visitors FROM e GROUP BY 1, 2",
+        "rate_limit": f"""WITH RECURSIVE {e},
+            o AS (SELECT visitor, epoch_us(ts) AS t, row_number() OVER (PARTITION BY visitor ORDER BY ts, event_id) AS k FROM e),
+            f AS (
+                SELECT visitor, k, [t] AS kept, 1 AS ok FROM o WHERE k = 1
+                UNION ALL
+                SELECT visitor, k, CASE WHEN len(live) < 2 THEN list_append(live, t) ELSE live END, CASE WHEN len(live) < 2 THEN 1 ELSE 0 END
+                FROM (SELECT o.visitor, o.k, o.t, list_filter(f.kept, lambda x: x > o.t - 3600000000) AS live FROM f JOIN o ON o.visitor = f.visitor AND o.k = f.k + 1)
+            )
+            SELECT visitor AS key, count(*) AS n, sum(ok)::BIGINT AS allowed FROM f GROUP BY visitor""",
         "history_cap": f"WITH {e} SELECT domain AS url, event_id FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY ts DESC) AS k FROM e WHERE score IS NOT NULL) WHERE k <= {HISTORY}",
         "rate_window": f"WITH {e} SELECT event_id, count(*) OVER (PARTITION BY visitor ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS n FROM e",
         "event_sessions": f"WITH {e}, s AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER q <= 1800000000 THEN 0 ELSE 1 END AS new FROM e WINDOW q AS (PARTITION BY visitor ORDER BY ts, event_id)), t AS (SELECT *, (sum(new) OVER (PARTITION BY visitor ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))::BIGINT AS session FROM s) SELECT visitor, session, count(*) AS n, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us FROM t GROUP BY 1, 2",
