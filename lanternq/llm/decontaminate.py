@@ -158,7 +158,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[t
     block, size = [], 0
     for r in rows.orderBy("id", "text").toLocalIterator():
         block.append((r["id"], r["text"]))
-        size += len(r["text"])
+        size += len(r["text"].encode("utf-8", "replace"))
         if size >= BLOCK_BYTES:
             yield block
             block, size = [], 0
