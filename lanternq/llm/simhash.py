@@ -8,6 +8,8 @@ every linked pair meets in a table, without exception. About half of the bits ar
 Rows with one fingerprint are one vertex from the start. Vertices that share a bucket are compared in numpy, streaming over sorted partitions; a
 bucket yields a forest of links, never all its pairs. In a bucket of over BLOCK vertices all are first compared with the smallest one; only if that leaves several
 components, the bucket is cut into blocks, and every two of its blocks are compared as a task's group of its own, so that no task gathers a bucket and no pair is left out.
+
+Joins of tables that grow with the corpus are marked as merge joins: Spark takes the 31 keys of each row for one row, and packed Parquet for its rows, and would build them on the driver.
 """
 
 from __future__ import annotations
@@ -131,11 +133,11 @@ def links(nodes: DataFrame) -> DataFrame:
     tables = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for t, m in enumerate(covering_masks())])
     keys = nodes.select("fp", F.explode(tables).alias("bucket"))
     shared = keys.groupBy("bucket").agg(F.count("*").alias("n"), F.min("fp").alias("pivot")).where("n > 1")
-    met = parked(keys.join(shared, "bucket"), "met")
+    met = parked(keys.join(shared.hint("merge"), "bucket"), "met")
     large = met.where(F.col("n") > BLOCK)
     star = parked(large.where((F.col("fp") != F.col("pivot")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("pivot"))) <= RADIUS)).select(F.col("pivot").alias("src"), F.col("fp").alias("dst")).distinct(), "star")
     roots = parked(connected_components(star).withColumnRenamed("node", "fp"), "pivots")
-    several = large.join(roots, "fp", "left").groupBy("bucket").agg(F.min(F.coalesce("root", "fp")).alias("lo"), F.max(F.coalesce("root", "fp")).alias("hi")).where("lo != hi").select("bucket")
+    several = large.join(roots.hint("merge"), "fp", "left").groupBy("bucket").agg(F.min(F.coalesce("root", "fp")).alias("lo"), F.max(F.coalesce("root", "fp")).alias("hi")).where("lo != hi").select("bucket")
     rest = met.where(F.col("n") <= BLOCK).unionAll(large.join(several, "bucket", "left_semi").select(*met.columns))
     blocks = F.ceil(F.col("n") / BLOCK).cast("long")
     pairs = rest.select("fp", "bucket", blocks.alias("blocks")).withColumn("own", F.pmod(F.xxhash64("fp"), "blocks"))
@@ -148,7 +150,7 @@ def links(nodes: DataFrame) -> DataFrame:
 def _rooted(nodes: DataFrame) -> DataFrame:
     """(fp, root) of the distinct fingerprints ``fp`` of ``nodes``."""
     found = parked(connected_components(links(nodes)).withColumnRenamed("node", "fp"), "roots")
-    return nodes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return nodes.join(found.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,5 +182,5 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     nodes = parked(marks.groupBy("fp").agg(F.min("id").alias("low")), "nodes")
     rooted = parked(_rooted(nodes).select("fp", "low", "root"), "rooted")
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = parked(rooted.join(parked(least, "least"), "root").select("fp", "component_id"), "named")
-    return marks.join(named, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = parked(rooted.join(parked(least, "least").hint("merge"), "root").select("fp", "component_id"), "named")
+    return marks.join(named.hint("merge"), "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -150,3 +150,29 @@ def test_forest_connects_what_pairs_connect():
             mine[find(b, mine)] = find(a, mine)
         for a, b in itertools.combinations(marks, 2):
             assert (find(a) == find(b)) == (find(a, mine) == find(b, mine))
+
+
+def planned(monkeypatch, module):
+    """(name, plan) of each table that ``module`` parks from now on."""
+    found = []
+
+    def parked(df, name="table", own=module.parked):
+        found.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return own(df, name)
+
+    monkeypatch.setattr(module, "parked", parked)
+    return found
+
+
+def test_groups_leave_nothing_that_grows_to_the_driver(docs, words, monkeypatch):
+    from lanternq.operators import components as C
+
+    monkeypatch.setattr(C, "FEW", -1)
+    plans, rounds = planned(monkeypatch, S), planned(monkeypatch, C)
+    rows = list(enumerate(edited(words, 3)))
+    out = S.near_groups(docs(rows))
+    plans.append(("out", out._jdf.queryExecution().executedPlan().toString()))
+    joins = {"met", "rooted", "named", "out", "large", "small"}
+    assert joins <= {name for name, _ in plans + rounds}
+    assert not [name for name, plan in plans + rounds if name in joins and "BroadcastHashJoin" in plan]
+    assert sorted((tuple(r)[:3] for r in out.collect()), key=repr) == brute_groups(rows)
