@@ -166,9 +166,9 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = wide.select(F.col(id_col).cast("long").alias("id"), F.struct(F.col(r).alias("r"), F.col(q).alias("q")).alias("row"), F.col(text_col).cast("binary").alias("text"))
     marks = parked(named.mapInArrow(_row_fingerprints, "id long, row struct<r: bigint, q: bigint>, fp long"), "fingerprints")
     rooted = parked(_rooted(parked(marks.select("fp").distinct(), "nodes")), "rooted")
-    best = marks.join(rooted, "fp").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best"))
+    best = marks.join(rooted.hint("merge"), "fp").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best"))
     kept = parked(best.select(F.col("best.row.r").alias(r), F.col("best.row.q").alias(q)), "kept")
-    return wide.join(kept, [r, q], "left_semi").dropDuplicates([r, q]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return wide.join(kept.hint("merge"), [r, q], "left_semi").dropDuplicates([r, q]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -176,3 +176,14 @@ def test_groups_leave_nothing_that_grows_to_the_driver(docs, words, monkeypatch)
     assert joins <= {name for name, _ in plans + rounds}
     assert not [name for name, plan in plans + rounds if name in joins and "BroadcastHashJoin" in plan]
     assert sorted((tuple(r)[:3] for r in out.collect()), key=repr) == brute_groups(rows)
+
+
+def test_representatives_leave_nothing_that_grows_to_the_driver(docs, words, monkeypatch):
+    plans = planned(monkeypatch, S)
+    rows = list(enumerate(edited(words, 4)))
+    out = S.representatives(docs(rows))
+    plans.append(("out", out._jdf.queryExecution().executedPlan().toString()))
+    joins = {"met", "kept", "out"}
+    assert joins <= {name for name, _ in plans}
+    assert not [name for name, plan in plans if name in joins and "BroadcastHashJoin" in plan]
+    assert {r["doc_id"] for r in out.collect()} == {low for _, _, low in brute_groups(rows)}
