@@ -374,3 +374,28 @@ def test_lines_of_one_edit_in_five_meet(docs, words):
     similar = [k for k, (s, t) in enumerate(pairs) if levenshtein(s, t) <= int(max(len(s), len(t)) * 0.2 + 1e-9)]
     dropped = {x["doc_id"] for x in N.line_dedup(docs(rows)).where("n_dropped = 1").collect()}
     assert len(similar) > 25 and [pairs[k] for k in similar if 2 * k + 1 not in dropped] == []
+
+
+def test_lines_are_compared_without_the_tables_behind_them(docs, words, monkeypatch):
+    """While pairs are compared, only the texts in buckets lie on disk, and no keys."""
+    live, seen = {}, {}
+    park, drop = N.parked, N.dropped
+
+    def parked(df, name="table"):
+        seen[name] = [c for columns in live.values() for c in columns]
+        out = park(df, name)
+        live.update(dict.fromkeys({f.rpartition("/")[0] for f in out.inputFiles()}, out.columns))
+        return out
+
+    def dropped(*frames):
+        for f in {x.rpartition("/")[0] for df in frames for x in df.inputFiles()}:
+            live.pop(f, None)
+        drop(*frames)
+
+    monkeypatch.setattr(N, "parked", parked)
+    monkeypatch.setattr(N, "dropped", dropped)
+    check_lines(docs, fuzzy(words, 1))
+    for name in ("links", "more"):
+        assert seen[name].count("norm") == 1
+        assert "keys" not in seen[name]
+    assert "bucket" not in seen["more"]
