@@ -322,6 +322,28 @@ def test_very_long_lines(docs, words):
     assert {r["doc_id"]: r["n_dropped"] for r in N.line_dedup(docs(rows)).collect()} == {1: 0, 2: 1, 3: 1, 4: 1, 5: 0, 6: 0}
 
 
+def test_lines_of_middle_length_are_decided_by_characters(spark, words):
+    """A piece of which half the letters differ, and a letter in each of six more words: neither pieces nor words show that a tenth of the line differs."""
+    s = words(3, 200)[:640].strip()
+    t = "".join("z" if i % 2 and i < 120 and c != " " else c for i, c in enumerate(s)).split()
+    for i in range(-4, -34, -5):
+        t[i] = "q" + t[i][1:]
+    t = " ".join(t)
+    assert N.WORDY < len(s) <= N.WHOLE and 24 < levenshtein(s, t) <= 0.15 * len(s)
+    far = "".join("z" if i % 3 == 0 and c != " " else c for i, c in enumerate(s))
+    assert levenshtein(s, far) > 0.2 * len(s) + 1
+    texts = spark.createDataFrame([(1, s), (2, t), (3, far)], "lid long, norm string")
+    assert N._similar(spark.createDataFrame([(1, 2), (1, 3)], "a long, b long"), texts).collect() == [(1, 2)]
+
+
+def test_each_component_is_first_compared_by_its_most_alike_pair(spark):
+    pairs = spark.createDataFrame([(1, 2, 3), (1, 5, 4), (2, 5, 1), (6, 7, 9)], "a long, b long, differ int")
+    roots = spark.createDataFrame([(1, 1), (2, 1)], "node long, root long")
+    open_pairs = N._rooted(pairs, roots)
+    assert sorted(tuple(r) for r in open_pairs.select("a", "b", "ra", "rb").collect()) == [(1, 5, 1, 5), (2, 5, 1, 5), (6, 7, 6, 7)]
+    assert sorted(tuple(r) for r in N._alike(open_pairs).collect()) == [(2, 5), (6, 7)]
+
+
 def test_sums_over_pieces_are_never_below_the_distance(spark, words):
     pairs = []
     for k in range(30):
